@@ -157,9 +157,10 @@ def with_replies(chunks: Chunks, replies: DataFrame, f: Callable[[Chunk, list[tu
 
 MASK = (1 << 64) - 1
 _RNG = np.random.default_rng(20240613)
-_TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
+#: Two independent hashes: a value for each byte, and an odd base.
+_TABLES = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASES = (0x9E3779B97F4A7C15, 0xA0761D6478BD642F)
+_POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -171,27 +172,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int, inverse: bool) -> np.ndarray:
-    kept = _POWERS.get("inv" if inverse else "pow")
+def _powers(n: int, inverse: bool, seed: int = 0) -> np.ndarray:
+    kept = _POWERS.get((seed, inverse))
     if kept is None or len(kept) < n:
-        b = pow(_BASE, -1, 1 << 64) if inverse else _BASE
+        b = pow(_BASES[seed], -1, 1 << 64) if inverse else _BASES[seed]
         kept = np.full(max(n, 1 << 16), b, np.uint64)
         kept[0] = 1
         kept = np.cumprod(kept, dtype=np.uint64)
-        _POWERS["inv" if inverse else "pow"] = kept
+        _POWERS[seed, inverse] = kept
     return kept[:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, seed: int = 0) -> np.ndarray:
     """Prefix sums from which ``span_hash`` has the hash of any span."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _powers(len(data), False), out=out[1:])
+    np.cumsum(_TABLES[seed][data] * _powers(len(data), False, seed), out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit content hashes of spans [start, end)."""
-    h = (prefix[ends] - prefix[starts]) * _powers(len(prefix), True)[starts]
+    h = (prefix[ends] - prefix[starts]) * _powers(len(prefix), True, seed)[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
