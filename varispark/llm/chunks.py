@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +79,7 @@ def pack_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             if not b.num_rows:
                 continue
-            sizes = np.asarray(pa.compute.binary_length(b.column(1))).astype(np.int64)
+            sizes = np.asarray(pc.binary_length(b.column(1))).astype(np.int64)
             at = 0
             ends = np.cumsum(sizes)
             while at < b.num_rows:

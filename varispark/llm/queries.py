@@ -7,15 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varispark.llm.ftrl import held_out
 from varispark.llm.minhash import near_duplicates
+from varispark.llm.quality import score_quality, train_quality
 from varispark.llm.substring_dedup import dedup_substrings
 from varispark.llm.suffix_dedup import dedup_suffixes
+from varispark.llm.toxicity import score_toxicity, train_toxicity, training_labels
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(docs, training_labels(_table(spark, sf_dir, "labels")))
+    return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_substrings(docs)
@@ -26,14 +35,22 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_quality(docs, training_labels(_table(spark, sf_dir, "labels")))
+    return score_quality(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_suffixes(docs, length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
