@@ -15,6 +15,7 @@ from varispark.llm.quality import score_quality, train_quality
 from varispark.llm.substring_dedup import dedup_substrings
 from varispark.llm.suffix_dedup import dedup_suffixes
 from varispark.llm.toxicity import score_toxicity, train_toxicity, training_labels
+from varispark.llm.weak_rules import rate_documents
 
 
 #: Tokenizer files; a parameter of the operators.
@@ -55,6 +56,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rate_documents(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
