@@ -57,3 +57,16 @@ def test_kept_documents_and_odd_rows(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 5), (False, 8), (False, 9), (True, 0)]
     assert run(spark, []) == []
+
+
+def test_components_in_rounds_as_in_one_task(spark):
+    import random
+
+    from varispark.llm.components import connected_components
+
+    r = random.Random(1)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(40)] + [(200, x) for x in range(201, 230)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    one, rounds = (sorted(map(tuple, connected_components(df, n).collect())) for n in (10_000, 0))
+    ends = {x for a, b in edges if a != b for x in (a, b)}
+    assert one == rounds and {x for x, _ in one} == ends and (40, 0) in one and (229, 200) in one

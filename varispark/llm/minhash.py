@@ -8,8 +8,8 @@ band are candidates, and every link is confirmed on the full sets.
 
 Scale. Documents with equal sets are one vertex from the start. In a band, all members
 are first compared with one centre; members that this leaves in different components
-are compared with further centres while that is less work than all their pairs, and
-then with each other. Pairs inside one component are never formed, so large groups of
+are compared with other centres, and those still apart then with each other, every pair
+once. Pairs inside one component are never formed, so large groups of
 copies cost about one comparison a member, yet no link between components is lost: at
 similarity 0.8, two documents share no band with a probability of 3e-6.
 
@@ -34,6 +34,8 @@ from varispark.session import materialise
 
 PERMUTATIONS = 80
 ROWS = 5
+#: Rounds of comparing the members of a band with one centre, before those still apart are compared with each other.
+TURNS = 3
 _RNG = np.random.default_rng(977)
 _A = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -155,36 +157,32 @@ class NearDuplicates:
         sets = materialise(with_replies(self.chunks, wanted, sets_of, "id bigint, shingles binary"))
         members = members.select("band", "id", "n")
         similar_size = F.expr(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
-        none = members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-        tested, links = none, none
-        components = none.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        turn = 0
-        while True:
-            now = members.join(components, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
-            by_part = now.groupBy("band", "component").agg(F.count("*").alias("m"))
-            open_bands = by_part.groupBy("band").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("inner"), F.count("*").alias("parts")).where("parts > 1")
-            sizes = open_bands.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("inner")) / 2), F.lit(0))).first()
-            if not sizes[0]:
+        now = members.withColumn("component", F.col("id"))
+        tested = links = None
+        for turn in range(TURNS):
+            # the first centre of a band is its smallest id, later ones are others
+            by = F.struct(F.xxhash64("id", F.lit(turn)), "id") if turn else F.struct("id")
+            centre = now.groupBy("band").agg(F.min_by(F.struct("id", "n", "component"), by).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+            centre = centre.select("band", F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca"))
+            pairs = now.select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")).join(centre, "band").where("ca <> cb").where(similar_size)
+            fresh = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            if turn and fresh.isEmpty():
                 break
-            now = now.join(open_bands.select("band"), "band")
-            everything = turn > 0 and (sizes[1] <= 2 * sizes[0] or turn >= 6)
-            if everything:
-                other = now.select("band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            else:  # the first centre is the smallest id, later ones differ
-                by = F.struct(F.xxhash64("id", F.lit(turn)), "id") if turn else F.struct("id")
-                centre = now.groupBy("band").agg(F.min_by(F.struct("id", "n", "component"), by).alias("c"))
-                other = centre.select("band", F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca"))
-            pairs = now.select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")).join(other, "band").where("ca <> cb").where(similar_size)
-            if everything:
-                pairs = pairs.where("a < b")
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            fresh = materialise(pairs.join(tested, ["a", "b"], "left_anti"))
+            tested = fresh if tested is None else tested.unionByName(fresh)
+            confirmed = _confirm(fresh, sets, self.percent)
+            links = materialise(confirmed if links is None else links.unionByName(confirmed))
+            components = connected_components(links)
+            now = materialise(members.join(components, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component")))
+        # what is still apart is compared with each other, every pair once: in the first band that it shares
+        apart = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+        rest = now.join(apart, "band").join(self.classes.select("id", "bands"), "id")
+        a, b = (rest.select("band", *[F.col(x).alias(x[0] + y if x != "bands" else "bands_" + y) for x in ("n", "component", "bands")], F.col("id").alias(y)) for y in "ab")
+        once = F.expr("bands_a[array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) - 1] = band")
+        pairs = a.join(b, "band").where("a < b and ca <> cb").where(similar_size).where(once).select("a", "b").distinct()
+        fresh = materialise(pairs.join(tested, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
             links = materialise(links.unionByName(_confirm(fresh, sets, self.percent)))
             components = connected_components(links)
-            if everything:
-                break
-            tested = tested.unionByName(fresh)
-            turn += 1
         self.links = links
         return components
 
