@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varispark.llm.ann import search
 from varispark.llm.bpe import digest_documents
 from varispark.llm.ftrl import held_out
 from varispark.llm.hmm_lm import score_documents
@@ -61,6 +62,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rate_documents(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_hmm_lm": op4_hmm_lm,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_ivf_pq": op7_ivf_pq,
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
