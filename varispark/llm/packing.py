@@ -24,6 +24,7 @@ string are encoded whole, so the library decides.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,8 +41,12 @@ CAPACITY = 4096
 END_ID = 2
 #: Documents of a group, about.
 GROUP_DOCS = 512
-#: Remembered chunks of text; the memory of a worker is bounded by it.
-_REMEMBERED = 300_000
+#: Remembered chunks of text in each of two generations; the memory of a worker is bounded by it.
+_REMEMBERED = 500_000
+#: Characters whose lower case or composition could depend on the Unicode version.
+_BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: Symbols that end a word and form one pre-token by themselves.
+_SYMBOLS = ".,;:!?#$%&*|<>()[]{}=+-_/\\\"~^@`"
 
 
 class ChunkEncoder:
@@ -53,22 +58,83 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         #: Special tokens, and separators that only Python takes for white space.
         self.special = [*(t.content for t in self.tokenizer.get_added_tokens_decoder().values()), *"\x1c\x1d\x1e\x1f"]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        #: Two generations of remembered chunks: what is in use moves on to the newer one.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if any(s in text for s in self.special):
-            return _ids_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        chunks = text.split()
-        known = self.known
-        missing = [c for c in set(chunks) if c not in known]
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """``encode`` for many texts; what they have that is new is encoded together."""
+        out: list[bytes | None] = []
+        waiting = []
+        for t in texts:
+            if any(s in t for s in self.special):
+                out.append(_ids_bytes(self.tokenizer.encode(t, add_special_tokens=False).ids))
+            else:
+                out.append(None)
+                # as the normaliser does, so more chunks are alike
+                waiting.append((t if _BEYOND.search(t) else t.lower()).split())
+        missing = {c for chunks in waiting for c in chunks if c not in self.known}
         if missing:
-            if len(known) + len(missing) > _REMEMBERED:
-                known.clear()
-                missing = list(set(chunks))
-            for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                known[c] = _ids_bytes(e.ids)
-        return b"".join([known[c] for c in chunks])
+            if len(self.known) + len(missing) > _REMEMBERED:
+                self.older, self.known = self.known, {}
+                missing = {c for chunks in waiting for c in chunks}
+            self._learn(missing)
+        get = self.known.__getitem__
+        found = iter(waiting)
+        return [x if x is not None else b"".join(map(get, next(found))) for x in out]
+
+    def _learn(self, missing: set[str]) -> None:
+        """Encode what no generation of the memory has; letters and the symbols after them are separate pre-tokens."""
+        known, older = self.known, self.older
+        split: list[tuple[str, str, str]] = []
+        fresh: set[str] = set()
+        for c in missing:
+            ids = older.get(c)
+            if ids is not None:
+                known[c] = ids
+                continue
+            word = c.rstrip(_SYMBOLS)
+            if word != c and word.isalpha():
+                tail = c[len(word) :]
+                split.append((c, word, tail))
+                for x in (word, tail):
+                    if x not in known:
+                        ids = older.get(x)
+                        if ids is None:
+                            fresh.add(x)
+                        else:
+                            known[x] = ids
+            else:
+                fresh.add(c)
+        words = [x for x in fresh if x.isalpha()]
+        if words and not self._learn_words(words):
+            words = []
+        rest = list(fresh.difference(words))
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[c] = _ids_bytes(e.ids)
+        for c, word, tail in split:
+            known[c] = known[word] + known[tail]
+
+
+    def _learn_words(self, words: list[str]) -> bool:
+        """Encode words of letters in one go: each is one pre-token, and the last token of each ends a word."""
+        (e,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(e.ids, "<u4")
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+        if len(ends) != len(words):
+            return False
+        raw, at, known = ids.tobytes(), 0, self.known
+        for w, to in zip(words, ends.tolist(), strict=True):
+            known[w] = raw[at:to]
+            at = to
+        return True
 
 
 def _ids_bytes(ids: list[int]) -> bytes:
@@ -177,9 +243,9 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer_path)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = [e.encode(t or "") + end for t in part.column(1).to_pylist()]
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                ids = [x + end for x in e.encode_all([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
