@@ -139,7 +139,7 @@ def to_haplotypes(gt: Column) -> Column:
 def to_genotypes(h: Column, ploidy: int = 2) -> Column:
     """Haplotypes in calls of ``ploidy``; their number must be divisible."""
     checked = F.when(F.size(h) % ploidy != 0, F.raise_error(F.lit("haplotypes are not divisible by ploidy")).cast("array<tinyint>")).otherwise(h)
-    return F.transform(F.sequence(F.lit(0), F.size(checked) / ploidy - 1), lambda i: F.slice(h, (i * ploidy + 1).cast("int"), F.lit(ploidy)))
+    return F.transform(F.sequence(F.lit(0), (F.size(checked) / ploidy).cast("int") - 1), lambda i: F.slice(h, (i * ploidy + 1).cast("int"), F.lit(ploidy)))
 
 
 def pack_diploid(gt: Column) -> Column:

@@ -257,7 +257,7 @@ def write_vcf(df: DataFrame, path: str, description: Mapping[str, str] | None =
         column, t = cols[name]
         c = F.col(column)
         if t.startswith("array"):
-            bad = (lambda x: x != "") if "string" in t else (lambda x: x != fill) if fill is not None and "float" not in t and "double" not in t else (lambda x: x.isNotNull())
+            bad = (lambda x: x != "") if "string" in t else (lambda x: ~F.isnan(x)) if "float" in t or "double" in t else (lambda x: x != fill) if fill is not None else (lambda x: x.isNotNull())
             c = F.array_join(F.transform(F.filter(c, bad), lambda x: x.cast("string")), ",")
         elif t in ("float", "double"):
             c = F.when(~F.isnan(c), c.cast("string"))
