@@ -2,10 +2,10 @@
 
 A pre-token is encoded on a linked list of its parts. Candidate merges wait in a queue
 of buckets, one for each merge rank in use, which hold list positions in order; a
-hierarchical bitmap over the ranks (words of 64 bits, three levels or more) finds the
+hierarchical bitmap over the ranks (words of 64 bits under a word of words) finds the
 lowest rank that has entries by find-first-set. A merge makes entries of its neighbours
-stale: an entry counts only if its two parts still have the rank it was queued with, and
-is skipped otherwise. Each of n bytes is merged at most once and queued at most a
+stale: an entry counts only if the pair at its position still has the rank it was queued
+with, and is skipped otherwise. Pre-tokens of many documents share one list and queue. Each of n bytes is merged at most once and queued at most a
 constant number of times, so a pre-token of a megabyte takes linear time.
 
 Common pre-tokens are remembered, in bounded memory.
@@ -19,17 +19,19 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from bisect import insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varispark.session import ship_package
 
-#: Remembered pre-tokens, none longer than this many bytes.
+#: Remembered pre-tokens in each of two generations, none longer than this many characters.
 _REMEMBERED, _LONGEST = 400_000, 64
+#: Beyond so many remembered pairs, those that don't merge are forgotten.
+_PAIRS = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,50 +41,51 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions in buckets by rank; a hierarchical bitmap finds the lowest rank in use."""
+    """Positions in buckets by rank; a hierarchical bitmap finds the lowest rank in use.
+
+    The lower level has a word of 64 bits for 64 ranks, the upper one a bit for each of
+    these words; find-first-set is ``(x & -x).bit_length() - 1`` on both.
+    """
+
+    __slots__ = ("words", "top", "buckets")
 
     def __init__(self, ranks: int):
-        self.levels: list[list[int]] = []
-        n = ranks
-        while True:
-            n = -(-n // 64)
-            self.levels.append([0] * n)
-            if n == 1:
-                break
+        self.words = [0] * (-(-ranks // 64))
+        self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is not None:
-            if position > bucket[-1]:
-                bucket.append(position)
-            else:
-                insort(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        at = rank
-        for words in self.levels:
-            at, bit = at >> 6, at & 63
-            was = words[at]
-            words[at] = was | 1 << bit
-            if was:
-                break
+            bucket.append(position)
+        else:
+            self.open(rank, [position])
+
+    def open(self, rank: int, positions: list[int]) -> None:
+        """A bucket for a rank that has none."""
+        self.buckets[rank] = positions
+        at = rank >> 6
+        word = self.words[at]
+        self.words[at] = word | 1 << (rank & 63)
+        if not word:
+            self.top |= 1 << at
 
     def pop(self) -> tuple[int, list[int]] | None:
         """The lowest rank and its positions in order, which leave the queue."""
-        at = 0
-        for words in reversed(self.levels):
-            word = words[at]
-            if not word:
-                return None
-            at = at << 6 | ((word & -word).bit_length() - 1)
-        rank = at
-        for words in self.levels:
-            at, bit = at >> 6, at & 63
-            words[at] &= ~(1 << bit)
-            if words[at]:
-                break
-        return rank, self.buckets.pop(rank)
+        top = self.top
+        if not top:
+            return None
+        at = (top & -top).bit_length() - 1
+        word = self.words[at]
+        bit = word & -word
+        word ^= bit
+        self.words[at] = word
+        if not word:
+            self.top = top ^ (1 << at)
+        rank = at << 6 | (bit.bit_length() - 1)
+        positions = self.buckets.pop(rank)
+        positions.sort()
+        return rank, positions
 
 
 class BytePairCodec:
@@ -95,68 +98,109 @@ class BytePairCodec:
         self.split = regex.compile(pattern).findall
         self.size = max(ranks.values()) + 1
         self.bytes_of = {r: b for b, r in ranks.items()}
+        self.byte_rank = np.array([ranks[bytes([b])] for b in range(256)])
+        self.two_bytes = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
+        #: Two generations of remembered pre-tokens: what is in use moves on to the newer one.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.queue = RankQueue(self.size)
-        #: (left rank, right rank) to the rank of both together, filled as pairs are met
-        self.joined: dict[tuple[int, int], int] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        n = len(piece)
-        part = [self.ranks[piece[i : i + 1]] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue, pair_rank = self.queue, self._pair_rank
-        for i in range(n - 1):
-            r = pair_rank(part[i], part[i + 1])
-            if r >= 0:
-                queue.push(r, i)
-        while (got := queue.pop()) is not None:
+        #: left rank << 32 | right rank to the rank of both together, filled as pairs are met
+        self.joined: dict[int, int] = {}
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens, as bytes. All share one list and one queue: a bucket holds the places of a
+        rank in every pre-token, and links end where a pre-token ends."""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        n = len(data)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = before[ends - sizes] = -1
+        first = np.append(self.two_bytes[data[:-1], data[1:]], -1)
+        first[ends - 1] = -1
+        part, after, before, pair = self.byte_rank[data].tolist(), after.tolist(), before.tolist(), first.tolist()
+        queue, joined, pair_rank = self.queue, self.joined.get, self._pair_rank
+        push, pop = queue.push, queue.pop
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0) :]
+        for group in np.split(order, np.flatnonzero(np.diff(first[order])) + 1):
+            if len(group):
+                queue.open(int(first[group[0]]), group.tolist())
+        while (got := pop()) is not None:
             rank, positions = got
             for i in positions:
-                if part[i] < 0:
-                    continue  # stale: merged into its left neighbour
+                if pair[i] != rank:
+                    continue  # stale: its parts have changed
                 j = after[i]
-                if j >= n or pair_rank(part[i], part[j]) != rank:
-                    continue  # stale: a neighbour has changed
-                part[i], part[j] = rank, -1
+                part[i], part[j], pair[j] = rank, -1, -1
                 k = after[i] = after[j]
-                if k < n:
+                if k < 0:
+                    pair[i] = -1
+                else:
                     before[k] = i
-                    r = pair_rank(rank, part[k])
+                    r = joined(rank << 32 | part[k])
+                    if r is None:
+                        r = pair_rank(rank, part[k])
+                    pair[i] = r
                     if r >= 0:
-                        queue.push(r, i)
+                        push(r, i)
                 h = before[i]
                 if h >= 0:
-                    r = pair_rank(part[h], rank)
+                    r = joined(part[h] << 32 | rank)
+                    if r is None:
+                        r = pair_rank(part[h], rank)
+                    pair[h] = r
                     if r >= 0:
-                        queue.push(r, h)
-        return [r for r in part if r >= 0]
+                        push(r, h)
+        ids = np.array(part, np.int64)
+        alive = ids >= 0
+        raw = ids[alive].astype("<u4").tobytes()
+        cuts = (np.cumsum(alive)[ends - 1] * 4).tolist()
+        return [raw[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)]
 
     def _pair_rank(self, a: int, b: int) -> int:
-        r = self.joined.get((a, b))
-        if r is None:
-            if len(self.joined) >= 1_000_000:
-                self.joined.clear()
-            r = self.joined[a, b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
+        """The rank of both together, or -1; remembered."""
+        r = self.joined[a << 32 | b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
         return r
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known, out = self.known, []
-        for p in self.split(text):
-            ids = known.get(p)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """``encode`` for many texts; their new pre-tokens are merged together."""
+        split = [self.split(t) for t in texts]
+        missing = {p for pieces in split for p in pieces if p not in self.known}
+        if missing:
+            if len(self.known) + len(missing) > _REMEMBERED:
+                self.older, self.known = self.known, {}
+                missing = {p for pieces in split for p in pieces}
+                if len(self.joined) > _PAIRS:
+                    self.joined = {k: r for k, r in self.joined.items() if r >= 0}
+            self._learn(missing)
+        get = self.known.__getitem__
+        out = [b"".join(map(get, pieces)) for pieces in split]
+        for p in missing:
+            if len(p) > _LONGEST:
+                del self.known[p]
+        return out
+
+    def _learn(self, missing: set[str]) -> None:
+        known, older, ranks = self.known, self.older.get, self.ranks.get
+        names, pieces = [], []
+        for p in missing:
+            ids = older(p)
             if ids is None:
                 raw = p.encode("utf-8", "replace")
-                ids = array("I", self.merge(raw)).tobytes()
-                if len(raw) <= _LONGEST:
-                    if len(known) >= _REMEMBERED:
-                        known.clear()
-                    known[p] = ids
-            out.append(ids)
-        return b"".join(out)
+                rank = ranks(raw)
+                if rank is None:
+                    names.append(p)
+                    pieces.append(raw)
+                    continue
+                ids = rank.to_bytes(4, "little")
+            known[p] = ids
+        if pieces:
+            known.update(zip(names, self.merge(pieces), strict=True))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
@@ -192,7 +236,7 @@ def _run(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, f
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                rows = [f(c, c.encode(t or "")) for t in part.column(1).to_pylist()]
+                rows = [f(c, ids) for ids in c.encode_all([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", *names])
 
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"doc_id bigint, {schema}")
