@@ -95,4 +95,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+#: Only where SQL can express the whole result and is fast enough on whole tables.
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": f"""
+with w as (select doc_id, {_WORDS.format(text="coalesce(text, '')")} ws from documents),
+g as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') k from w, unnest(range(1, len(ws) - 11)) t(i)),
+f as (select k, min(doc_id) m from g group by k),
+hit as (select doc_id, i from g join f using (k) where m < doc_id),
+gone as (select distinct doc_id, i + o p from hit, range(0, 13) r(o)),
+every as (select doc_id, p, ws[p] x from w, unnest(range(1, len(ws) + 1)) t(p)),
+kept as (select doc_id, string_agg(x, ' ' order by p) t from every anti join gone using (doc_id, p) group by doc_id)
+select doc_id, len(ws)::bigint n_words, coalesce(n, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256
+from w left join (select doc_id, count(*) n from gone group by doc_id) using (doc_id) left join kept using (doc_id)
+""",
+    "op5_minhash_near_dedup": f"""
+with recursive w as (select doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ws from documents),
+s as (select distinct doc_id, ws[i] || ' ' || ws[i + 1] sh from w, unnest(range(1, len(ws))) t(i) union all select doc_id, ws[1] from w where len(ws) = 1),
+n as (select doc_id, count(*) c from s group by doc_id),
+link as (select a.doc_id x, b.doc_id y, count(*) k from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+edge as (select x, y from link join n p on p.doc_id = x join n q on q.doc_id = y where 100 * k >= 80 * (p.c + q.c - k)),
+pairs as (select x, y from edge union all select y, x from edge),
+reach as (select x, y from pairs union select r.x, b.y from reach r join pairs b on r.y = b.x)
+select doc_id, coalesce(c, 0)::bigint n_shingles, coalesce(least(doc_id, m), doc_id) component_id, coalesce(least(doc_id, m), doc_id) = doc_id kept
+from documents left join n using (doc_id) left join (select x doc_id, min(y) m from reach group by x) using (doc_id)
+""",
+}
