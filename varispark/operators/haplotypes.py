@@ -149,9 +149,10 @@ def integrate(lengths: DataFrame, gaps: DataFrame, n: int, min_ehh: float, inclu
     """
     key = ("vidx", *by)
     hist = lengths.groupBy(*key, "ssl").agg(F.count("*").alias("c"))
-    pairs = hist.groupBy(*key).agg(F.sum("c").alias("n_pairs"), F.map_from_entries(F.collect_list(F.struct("ssl", "c"))).alias("m"))
+    pairs = hist.groupBy(*key).agg(F.sum("c").alias("n_pairs"), F.map_from_entries(F.collect_list(F.struct("ssl", "c"))).alias("m"), F.max("ssl").alias("top"))
     steps = (F.lit(n - 1) - F.col("vidx")) if reverse else F.col("vidx")
-    grid = pairs.withColumn("l", F.explode(F.sequence(F.lit(0).cast("bigint"), steps.cast("bigint"))))
+    # EHH is 0 from the longest shared suffix on, so no later step is used
+    grid = pairs.withColumn("l", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(steps, F.col("top")).cast("bigint"))))
     grid = grid.withColumn("c", F.coalesce(F.try_element_at("m", F.col("l").cast("bigint")), F.lit(0)))
     w = Window.partitionBy(*key).orderBy("l")
     grid = grid.withColumn("ehh", (F.col("n_pairs") - F.sum("c").over(w)) / F.col("n_pairs")).withColumn("prev", F.lag("ehh").over(w))

@@ -629,6 +629,7 @@ def _(df):
 
 _GN = "n as (select vidx, pos, s, case when x < 0 or y < 0 then -1 else (x > 0)::int + (y > 0)::int end v from c)"
 _R = "(count(*) * sum(p.v * q.v) - sum(p.v) * sum(q.v))::double / nullif(sqrt((count(*) * sum(p.v * p.v) - sum(p.v) * sum(p.v))::double * (count(*) * sum(q.v * q.v) - sum(q.v) * sum(q.v))), 0)"
+_contig_size = lambda df: W.position_bounds(df)[1] + 9  # a variant stands at the first of its ten bases
 _gn = lambda df, fill=-1: df.select("vidx", "pos", G.to_n_alt(F.col("gt"), fill).alias("gn"))
 
 
@@ -639,7 +640,7 @@ def _(df):
 
 @on_grid("windowed_r_squared", f"select w, quantile_cont(r * r, 0.5) p50 from (select p.vidx // 20 w, p.vidx i, q.vidx j, {_R} r from n p join n q on p.s = q.s and p.vidx < q.vidx and p.vidx // 20 = q.vidx // 20 where p.v >= 0 and q.v >= 0 group by all) group by w", _GN)
 def _(df):
-    got = P.windowed_r_squared(_gn(df), 200, start=1, stop=2000)
+    got = P.windowed_r_squared(_gn(df), 200, start=1, stop=_contig_size(df))
     return got.select("w", F.col("p50"))
 
 
@@ -655,7 +656,7 @@ def _(df):
 
 @on_grid("pairwise_dxy", "select p.s::int i, q.s::int j, round(sum(1 - (p.r * q.r + p.t * q.t)::double / nullif((p.r + p.t) * (q.r + q.t), 0)) / 1991, 9) dxy from m p join m q on p.vidx = q.vidx and p.s < q.s group by 1, 2", "m as (select vidx, s, (x = 0)::int + (y = 0)::int r, (x = 1)::int + (y = 1)::int t from c)")
 def _(df):
-    return P.pairwise_dxy(df.withColumn("gac", G.to_allele_counts(F.col("gt"), 1)), start=1, stop=1991).withColumn("dxy", r("dxy"))
+    return P.pairwise_dxy(df.withColumn("gac", G.to_allele_counts(F.col("gt"), 1)), start=1, stop=W.position_bounds(df)[1]).withColumn("dxy", r("dxy"))
 
 
 _SEQ = "sq as (select vidx // 3 w, hidx, string_agg(a::varchar, ',' order by vidx) q from g where vidx < 198 group by all), cn as (select w, q, count(*) n from sq group by all), rk as (select w, n / 40.0::double f, row_number() over (partition by w order by n desc) r from cn)"
@@ -758,9 +759,9 @@ def _(df):
 
 @on_grid("roh_poissonhmm", "")
 def _(df):
-    return R.roh_poissonhmm(df, 2000, phet_roh=0.005, phet_nonroh=(0.02, 0.05), window_size=100)
+    return R.roh_poissonhmm(df, _contig_size(df), phet_roh=0.005, phet_nonroh=(0.02, 0.05), window_size=100)
 
 
 @on_grid("roh_mhmm", "")
 def _(df):
-    return R.roh_mhmm(df, 2000, phet_roh=0.005, phet_nonroh=(0.02, 0.05), transition=0.001)
+    return R.roh_mhmm(df, _contig_size(df), phet_roh=0.005, phet_nonroh=(0.02, 0.05), transition=0.001)
