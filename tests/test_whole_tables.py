@@ -59,3 +59,77 @@ def test_roh_reaches_the_last_base(spark, sf, name):
     """The last run of some sample ends at the last base, which follows the parts."""
     got = QUERIES[name](spark, sf).toPandas()
     assert len(got) and got["stop"].max() == PARTS * 10
+
+
+def breaks(a: np.ndarray, i: int, j: int) -> np.ndarray:
+    """Variants where both haplotypes are called and differ."""
+    return np.flatnonzero((a[:, i] >= 0) & (a[:, j] >= 0) & (a[:, i] != a[:, j]))
+
+
+def test_rogers_huff_r_has_all_pairs(spark, sf):
+    a = alleles().reshape(PARTS, 20, 2)
+    gn = np.where((a < 0).any(2), -1, (a > 0).sum(2))
+    got = {(x["i"], x["j"]): x["r"] for x in QUERIES["rogers_huff_r"](spark, sf).collect()}
+    assert len(got) == PARTS * (PARTS - 1) // 2
+    for (i, j), r in list(got.items())[::7]:
+        on = (gn[i] >= 0) & (gn[j] >= 0)
+        x, y = gn[i][on], gn[j][on]
+        defined = len(x) and x.std() > 0 and y.std() > 0
+        assert (r is not None) == bool(defined)
+        assert not defined or abs(r - np.corrcoef(x, y)[0, 1]) < 1e-6
+
+
+def test_all_r_over_many_blocks(spark, sf, monkeypatch):
+    from varispark.operators import pairs as P
+    from varispark.plans.queries import _gn
+    from varispark.plans.views import grid_view
+
+    df = _gn(grid_view(spark, sf)).where("vidx < 70")
+    want = {(x["i"], x["j"]): x["r"] for x in P.rogers_huff_r(df, within=70).collect()}
+    monkeypatch.setattr(P, "_BLOCK", 16)
+    got = {(x["i"], x["j"]): x["r"] for x in P.rogers_huff_r(df).collect()}
+    assert got.keys() == want.keys() and len(got) == 70 * 69 // 2
+    assert all((got[k] is None) == (want[k] is None) and (got[k] is None or abs(got[k] - want[k]) < 1e-12) for k in got)
+
+
+def test_haplotype_distinct_has_all_variants(spark, sf):
+    groups: dict[bytes, int] = {}
+    for h in alleles().astype("int8").T:
+        groups[h.tobytes()] = groups.get(h.tobytes(), 0) + 1
+    got = {x["count"]: x["groups"] for x in QUERIES["haplotype_distinct"](spark, sf).collect()}
+    assert got == {c: list(groups.values()).count(c) for c in groups.values()}
+
+
+def test_ehh_decay_has_all_variants(spark, sf):
+    a = alleles()
+    first = [next(iter(np.flatnonzero(a[:, i] != a[:, j])), PARTS) for i in range(40) for j in range(i + 1, 40)]
+    got = {x["d"]: x["ehh"] for x in QUERIES["ehh_decay"](spark, sf).collect()}
+    assert got == {d: round(sum(f > d for f in first) / len(first), 9) for d in range(PARTS)}
+
+
+def test_moving_garud_h_has_all_windows(spark, sf):
+    assert {x["w"] for x in QUERIES["moving_garud_h"](spark, sf).collect()} == set(range(PARTS // 3))
+
+
+def test_suffix_lengths_and_nsl_have_all_haplotypes(spark, sf):
+    a = alleles()
+    v = np.arange(PARTS)
+    ssl, sums = {}, np.zeros((2, PARTS))
+    pairs = np.zeros((2, PARTS))
+    for i in range(40):
+        for j in range(i + 1, 40):
+            b = breaks(a, i, j)
+            before, after = np.r_[-1, b][np.searchsorted(b, v, "right")], np.r_[b, PARTS][np.searchsorted(b, v)]
+            ssl[i, j] = v - before
+            for c in (0, 1):
+                on = (a[:, i] == c) & (a[:, j] == c)
+                sums[c] += np.where(on, after - before, 0)
+                pairs[c] += on
+    got = QUERIES["shared_suffix_lengths"](spark, sf).toPandas()
+    assert len(got) == PARTS * 780
+    assert all((g["ssl"].to_numpy() == ssl[k]).all() for k, g in got.sort_values("vidx").groupby(["i", "j"]))
+    nsl = {x["vidx"]: x["nsl"] for x in QUERIES["nsl"](spark, sf).collect()}
+    for k in range(PARTS):
+        defined = pairs[0, k] and pairs[1, k]
+        assert (nsl[k] is not None) == bool(defined)
+        assert not defined or abs(nsl[k] - np.log(sums[1, k] / pairs[1, k] / (sums[0, k] / pairs[0, k]))) < 1e-6

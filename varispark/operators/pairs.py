@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,17 +32,55 @@ def r_value(x: Column, y: Column) -> Column:
 
 def rogers_huff_r(df: DataFrame, gn: str = "gn", within: int | None = None) -> DataFrame:
     """(i, j, r) for pairs of variants i < j [at most ``within`` rows apart, joined by blocks]."""
+    if within is None:
+        return _all_r(df, gn)
     a = df.select(F.col("vidx").alias("i"), F.col(gn).alias("x"))
     b = df.select(F.col("vidx").alias("j"), F.col(gn).alias("y"))
-    if within is None:
-        pairs = a.join(b, F.col("i") < F.col("j"))
-    else:
-        a = a.withColumn("_b", F.floor(F.col("i") / within))
-        b = b.withColumn("_b", F.explode(F.array(F.floor(F.col("j") / within), F.floor(F.col("j") / within) - 1)))
-        pairs = a.join(b, "_b").where((F.col("i") < F.col("j")) & (F.col("j") - F.col("i") <= within))
+    a = a.withColumn("_b", F.floor(F.col("i") / within))
+    b = b.withColumn("_b", F.explode(F.array(F.floor(F.col("j") / within), F.floor(F.col("j") / within) - 1)))
+    pairs = a.join(b, "_b").where((F.col("i") < F.col("j")) & (F.col("j") - F.col("i") <= within))
     return pairs.select("i", "j", r_value(F.col("x"), F.col("y")).alias("r"))
 
 
+#: Variants of a block; a task holds the sums of one pair of blocks at a time.
+_BLOCK = 500
+
+
+def _all_r(df: DataFrame, gn: str) -> DataFrame:
+    """r of all pairs i < j: a row for each pair of blocks, whose sums are matrix products."""
+    rows = df.select(F.col("vidx").cast("bigint").alias("vidx"), F.col(gn).cast("array<double>").alias("gn"), F.floor(F.col("vidx") / _BLOCK).alias("b"))
+    blocks = rows.groupBy("b").agg(F.collect_list(F.struct("vidx", "gn")).alias("v"))
+    pairs = blocks.alias("x").join(blocks.alias("y"), F.col("x.b") <= F.col("y.b"))
+    pairs = pairs.select(*[F.col(f"{k}.v.{c}").alias(f"{k}_{c}") for k in "xy" for c in ("vidx", "gn")])
+    n = df.sparkSession.sparkContext.defaultParallelism * 8
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                i, j = (np.asarray(batch.column(f"{k}_vidx")[row].as_py(), np.int64) for k in "xy")
+                sums = []
+                for k in "xy":
+                    calls = batch.column(f"{k}_gn")[row].as_py()
+                    m = np.full((len(calls), max([len(c) for c in calls if c is not None], default=0)), -1.0)
+                    for at, c in enumerate(calls):
+                        if c is not None:
+                            m[at, : len(c)] = [-1.0 if a is None else a for a in c]
+                    on = m >= 0
+                    sums.append((np.where(on, m, 0.0), on.astype(float)))
+                (x, p), (y, q) = sums
+                c = p @ q.T
+                sx, sy = x @ q.T, p @ y.T
+                cov = c * (x @ y.T) - sx * sy
+                spread = (c * ((x * x) @ q.T) - sx * sx) * (c * (p @ (y * y).T) - sy * sy)
+                a, b = np.nonzero(i[:, None] < j[None, :])
+                cov, spread = cov[a, b], spread[a, b]
+                yes = spread > 0
+                r = np.divide(cov, np.sqrt(spread, where=yes, out=np.ones_like(spread)), where=yes, out=np.zeros_like(cov))
+                yield pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(j[b]), pa.array(r, mask=~yes)], ["i", "j", "r"])
+
+    return pairs.repartition(n).mapInArrow(kernel, "i bigint, j bigint, r double")
+
+
 def rogers_huff_r_between(a: DataFrame, b: DataFrame, gn: str = "gn") -> DataFrame:
     """(i, j, r) of every row of ``a`` with every row of ``b``: the full matrix is the result."""
     x = a.select(F.col("vidx").alias("i"), F.col(gn).alias("x"))

@@ -635,7 +635,7 @@ _gn = lambda df, fill=-1: df.select("vidx", "pos", G.to_n_alt(F.col("gt"), fill)
 
 @on_grid("rogers_huff_r", f"select i, j, round(r, 7) r from (select i, j, max(r) r from (select p.vidx i, q.vidx j, case when true then {_R} end r from n p join n q on p.s = q.s and p.vidx < q.vidx and q.vidx - p.vidx <= 30 where p.v >= 0 and q.v >= 0 group by all) group by all)", _GN)
 def _(df):
-    return P.rogers_huff_r(_gn(df), within=30).withColumn("r", F.round("r", 7))
+    return P.rogers_huff_r(_gn(df)).withColumn("r", F.round("r", 7))
 
 
 @on_grid("windowed_r_squared", f"select w, quantile_cont(r * r, 0.5) p50 from (select p.vidx // 20 w, p.vidx i, q.vidx j, {_R} r from n p join n q on p.s = q.s and p.vidx < q.vidx and p.vidx // 20 = q.vidx // 20 where p.v >= 0 and q.v >= 0 group by all) group by w", _GN)
@@ -664,23 +664,22 @@ _SEQ = "sq as (select vidx // 3 w, hidx, string_agg(a::varchar, ',' order by vid
 
 @on_grid("moving_garud_h", "select w, round(sum(f * f), 9) h1, round(pow(sum(f) filter (where r <= 2), 2) + coalesce(sum(f * f) filter (where r > 2), 0), 9) h12, round(pow(sum(f) filter (where r <= 3), 2) + coalesce(sum(f * f) filter (where r > 3), 0), 9) h123, round(coalesce(sum(f * f) filter (where r > 1), 0) / sum(f * f), 9) h2_h1, round((1 - sum(f * f)) * 40 / 39, 9) diversity from rk group by w", _SEQ)
 def _(df):
-    return H.moving_garud_h(df, 3, stop=198).select("w", *[r(c).alias(c) for c in ("h1", "h12", "h123", "h2_h1", "diversity")])
+    return H.moving_garud_h(df, 3).select("w", *[r(c).alias(c) for c in ("h1", "h12", "h123", "h2_h1", "diversity")])
 
 
 @on_grid("haplotype_distinct", "select n count, round(n / 40.0::double, 9) frequency, count(*) groups from (select q, count(*) n from (select hidx, string_agg(a::varchar, ',' order by vidx) q from g where vidx < 6 group by hidx) group by q) group by n")
 def _(df):
-    return H.distinct(df.where("vidx < 6")).groupBy("count", r("frequency").alias("frequency")).agg(F.count("*").alias("groups"))
+    return H.distinct(df).groupBy("count", r("frequency").alias("frequency")).agg(F.count("*").alias("groups"))
 
 
 @on_grid("ehh_decay", "select d, round(count(*) filter (where br > d) / count(*)::double, 9) ehh from (select i, j, coalesce(min(vidx) filter (where u <> w), 30) br from (select p.vidx, p.hidx i, q.hidx j, p.a u, q.a w from g p join g q on p.vidx = q.vidx and p.hidx < q.hidx where p.vidx < 30) group by all), range(0, 30) t(d) group by d")
 def _(df):
-    return H.ehh_decay(df.where("vidx < 30")).select("d", r("ehh").alias("ehh"))
+    return H.ehh_decay(df).select("d", r("ehh").alias("ehh"))
 
 
 @on_grid("shared_suffix_lengths", "select vidx, hi::int i, hj::int j, vidx - coalesce(max(case when u >= 0 and w >= 0 and u <> w then vidx end) over (partition by hi, hj order by vidx), -1) ssl from (select p.vidx, p.hidx hi, q.hidx hj, p.a u, q.a w from g p join g q on p.vidx = q.vidx and p.hidx < q.hidx where p.hidx < 8 and q.hidx < 8)")
 def _(df):
-    d = df.withColumn("h", F.slice("h", 1, 8))
-    return H.shared_suffix_lengths(d, by_class=False).select("vidx", "i", "j", "ssl")
+    return H.shared_suffix_lengths(df, by_class=False).select("vidx", "i", "j", "ssl")
 
 
 _NSL = "pr as (select p.vidx, p.hidx hi, q.hidx hj, p.a u, q.a w from g p join g q on p.vidx = q.vidx and p.hidx < q.hidx where p.hidx < 12 and q.hidx < 12), ss as (select *, vidx - coalesce(max(case when u >= 0 and w >= 0 and u <> w then vidx end) over (partition by hi, hj order by vidx), -1) f, coalesce(min(case when u >= 0 and w >= 0 and u <> w then vidx end) over (partition by hi, hj order by vidx desc), 200) - vidx b from pr)"
@@ -688,7 +687,7 @@ _NSL = "pr as (select p.vidx, p.hidx hi, q.hidx hj, p.a u, q.a w from g p join g
 
 @on_grid("nsl", "select v.vidx, round(ln(b1 / b0), 9) nsl from (select distinct vidx from g) v left join (select vidx, avg(f) filter (where u = 0 and w = 0) + avg(b) filter (where u = 0 and w = 0) b0, avg(f) filter (where u = 1 and w = 1) + avg(b) filter (where u = 1 and w = 1) b1 from ss group by vidx) s on s.vidx = v.vidx", _NSL)
 def _(df):
-    return H.nsl(df.withColumn("h", F.slice("h", 1, 12))).withColumn("nsl", r("nsl"))
+    return H.nsl(df).withColumn("nsl", r("nsl"))
 
 
 # ---------------------------------------------------------------- pedigree and runs
@@ -734,17 +733,17 @@ SQL["state_transitions"] = f"with {_EV} select part, lstate, rstate, lidx, ridx
 
 @on_grid("ihs", "")
 def _(df):
-    return H.ihs(df.withColumn("h", F.slice("h", 1, 12)), include_edges=True, min_maf=0.0).withColumn("ihs", r("ihs"))
+    return H.ihs(df, include_edges=True, min_maf=0.0).withColumn("ihs", r("ihs"))
 
 
 @on_grid("xpehh", "")
 def _(df):
-    return H.xpehh(df.select("vidx", "pos", F.slice("h", 1, 10).alias("h1"), F.slice("h", 11, 10).alias("h2")), "h1", "h2", include_edges=True).withColumn("xpehh", r("xpehh"))
+    return H.xpehh(df.select("vidx", "pos", F.slice("h", 1, 20).alias("h1"), F.slice("h", 21, 20).alias("h2")), "h1", "h2", include_edges=True).withColumn("xpehh", r("xpehh"))
 
 
 @on_grid("xpnsl", "")
 def _(df):
-    return H.xpnsl(df.select("vidx", F.slice("h", 1, 10).alias("h1"), F.slice("h", 11, 10).alias("h2")), "h1", "h2").withColumn("xpnsl", r("xpnsl"))
+    return H.xpnsl(df.select("vidx", F.slice("h", 1, 20).alias("h1"), F.slice("h", 21, 20).alias("h2")), "h1", "h2").withColumn("xpnsl", r("xpnsl"))
 
 
 @on_grid("locate_unlinked", "")
