@@ -133,3 +133,43 @@ def test_suffix_lengths_and_nsl_have_all_haplotypes(spark, sf):
         defined = pairs[0, k] and pairs[1, k]
         assert (nsl[k] is not None) == bool(defined)
         assert not defined or abs(nsl[k] - np.log(sums[1, k] / pairs[1, k] / (sums[0, k] / pairs[0, k]))) < 1e-6
+
+
+SF01 = SF.replace("sf0.001", "sf0.01")  # 2,000 positions
+LAST = 2000
+
+
+@pytest.fixture(scope="module")
+def positions():
+    return [x + 1 for (x,) in duckdb.sql(f"select distinct l_partkey from '{SF01}/lineitem.parquet'").fetchall()]
+
+
+def test_sequence_divergence_spans_all_positions(spark):
+    sql = SQL["sequence_divergence"].replace("(150 - 11 + 1)", f"{LAST}").replace("where pos between 11 and 150", "")
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{SF01}/{t}.parquet'")
+    assert rows(QUERIES["sequence_divergence"](spark, SF01).toPandas()) == rows(con.sql(sql).df())
+
+
+def test_windows_keys_and_features_reach_the_last_position(spark, sf):
+    """Over 6,000 positions, more than the constants of the SQL reach."""
+    from pyspark.sql import functions as F
+
+    from varispark.plans import queries as Q
+
+    long = spark.range(3000).select((F.col("id") * 2 + 1).alias("pos"))
+    assert Q._until_last(long, 7).count() == 5999 // 7 + 1
+    assert Q._until_last(long, 37, 1, least=20).count() == 5998 // 37 + 1
+    assert Q._until_last(long.limit(3), 13, 1, least=90).count() == 90
+    got = Q._ranges(long).agg(F.max("start")).first()[0]
+    assert 5999 - 61 < got <= 5999
+
+
+def test_windows_and_features_at_sf001(spark, positions):
+    got = {x["w"]: (x["window_start"], x["window_stop"], x["n"]) for x in QUERIES["windowed_given"](spark, SF01).collect()}
+    want = {i: (i * 37 + 1, i * 40 + 5) for i in range((LAST - 1) // 37 + 1)}
+    assert got == {i: (a, b, sum(a <= p <= b for p in positions)) for i, (a, b) in want.items()}
+    covered = {p for i in range((LAST - 1) // 13 + 1) for p in range(i * 13 + 1, i * 13 + 1 + (i * 7) % 20 + 1)}
+    union = [(x["start"], x["stop"]) for x in QUERIES["feature_mask"](spark, SF01).collect()]
+    assert {p for a, b in union for p in range(a, b + 1)} == covered and sum(b - a + 1 for a, b in union) == len(covered)

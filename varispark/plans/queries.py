@@ -292,9 +292,15 @@ def _(df):
     return W.equally_accessible_windows(_accessible(df), 70)
 
 
+def _until_last(df: DataFrame, every: int, first: int = 0, least: int = 0) -> DataFrame:
+    """id from 0 for each first + id * every up to the last position, and ``least`` ids in any case."""
+    top = W.position_bounds(df)[1]
+    return df.sparkSession.range(max(least, (top - first) // every + 1))
+
+
 @on_calls("windowed_given", "select gw.w, window_start, window_stop, count(vidx) n, sum(a1)::bigint s from gw left join v on pos between window_start and window_stop group by all", "gw as (select i w, i * 37 + 1 window_start, i * 37 + 5 + i * 3 window_stop from range(0, 20) t(i))")
 def _(df):
-    gw = df.sparkSession.range(20).select(F.col("id").alias("w"), (F.col("id") * 37 + 1).alias("window_start"), (F.col("id") * 40 + 5).alias("window_stop"))
+    gw = _until_last(df, 37, 1, least=20).select(F.col("id").alias("w"), (F.col("id") * 37 + 1).alias("window_start"), (F.col("id") * 40 + 5).alias("window_stop"))
     return W.windowed_given(df, {"s": F.sum(F.col("ac")[1])}, gw, bin_size=64)
 
 
@@ -318,7 +324,7 @@ def _(df):
 
 @on_calls("sequence_divergence", f"select round(sum({mpdb('b', 'c')}) / (150 - 11 + 1), 9) dxy from v where pos between 11 and 150")
 def _(df):
-    return V.sequence_divergence(df, "ac_b", "ac_c", start=11, stop=150).select(r("dxy").alias("dxy"))
+    return V.sequence_divergence(df, "ac_b", "ac_c").select(r("dxy").alias("dxy"))
 
 
 @on_calls("windowed_divergence", f"select w, window_start, window_stop, n, window_stop - window_start + 1 n_bases, round(s / (window_stop - window_start + 1), 9) dxy from ({windowed_sql(f'coalesce(sum({mpdb("b", "c")}), 0) s', 90, 45)[0]})", position_windows_sql(90, 45))
@@ -459,12 +465,12 @@ def _(df):
 
 @on_calls("index_intersect", "select vidx, pos from v semi join (select i * 7 pos from range(0, 400) t(i)) using (pos)")
 def _(df):
-    return I.intersect(df, df.sparkSession.range(400).select((F.col("id") * 7).alias("pos")), "pos").select("vidx", "pos")
+    return I.intersect(df, _until_last(df, 7).select((F.col("id") * 7).alias("pos")), "pos").select("vidx", "pos")
 
 
 @on_calls("index_locate_keys", "select vidx, pos in (select i * 7 from range(0, 400) t(i)) found from v")
 def _(df):
-    return I.locate_keys(df, df.sparkSession.range(400).select((F.col("id") * 7).alias("pos")), "pos", strict=False).select("vidx", "found")
+    return I.locate_keys(df, _until_last(df, 7).select((F.col("id") * 7).alias("pos")), "pos", strict=False).select("vidx", "found")
 
 
 @on_calls("index_locate_range", "select vidx, pos from v where pos between 50 and 77")
@@ -473,7 +479,7 @@ def _(df):
 
 
 _RANGES = "rg as (select i * 61 + 3 start, i * 61 + 3 + i % 9 stop from range(0, 60) t(i))"
-_ranges = lambda df: df.sparkSession.range(60).select((F.col("id") * 61 + 3).alias("start"), (F.col("id") * 61 + 3 + F.col("id") % 9).alias("stop"))
+_ranges = lambda df: _until_last(df, 61, 3).select((F.col("id") * 61 + 3).alias("start"), (F.col("id") * 61 + 3 + F.col("id") % 9).alias("stop"))
 
 
 @on_calls("index_intersect_ranges", "select vidx, pos from v semi join rg on pos between start and stop", _RANGES)
@@ -488,7 +494,7 @@ def _(df):
 
 @on_calls("feature_mask", "select min(p) start, max(p) stop from (select p, p - row_number() over (order by p) grp from (select distinct unnest(range(start, stop + 1)) p from ft)) group by grp", "ft as (select i * 13 + 1 start, i * 13 + 1 + (i * 7) % 20 stop from range(0, 90) t(i))")
 def _(df):
-    ft = df.sparkSession.range(90).select((F.col("id") * 13 + 1).alias("start"), (F.col("id") * 13 + 1 + (F.col("id") * 7) % 20).alias("end"))
+    ft = _until_last(df, 13, 1, least=90).select((F.col("id") * 13 + 1).alias("start"), (F.col("id") * 13 + 1 + (F.col("id") * 7) % 20).alias("end"))
     return I.interval_union(ft)
 
 
