@@ -173,3 +173,18 @@ def test_windows_and_features_at_sf001(spark, positions):
     covered = {p for i in range((LAST - 1) // 13 + 1) for p in range(i * 13 + 1, i * 13 + 1 + (i * 7) % 20 + 1)}
     union = [(x["start"], x["stop"]) for x in QUERIES["feature_mask"](spark, SF01).collect()]
     assert {p for a, b in union for p in range(a, b + 1)} == covered and sum(b - a + 1 for a, b in union) == len(covered)
+
+
+@pytest.mark.parametrize("name", ["fold_sfs", "fold_joint_sfs"])
+def test_folds_keep_high_counts(spark, tmp_path, name):
+    """A part with 16 derived alleles in each of two populations, as one with none, is counted: no bin is left out."""
+    for t in ("supplier", "nation"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    con = duckdb.connect()
+    pop = lambda p: f"(select min(s_suppkey) from '{SF}/supplier.parquet' join '{SF}/nation.parquet' on s_nationkey = n_nationkey where n_regionkey = {p})"
+    one = lambda part, p, flag, n: f"select {part}::bigint l_partkey, {pop(p)} l_suppkey, '{flag}' l_returnflag from range({n})"
+    con.sql(" union all ".join([one(0, 0, "N", 16), one(0, 1, "N", 16), one(1, 0, "A", 3), one(1, 1, "A", 3)])).write_parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(v for k, v in sorted(x.asDict().items()) if k != "count"): x["count"] for x in QUERIES[name](spark, str(tmp_path)).collect()}
+    both = 1 if name == "fold_sfs" else 2
+    # n is 17: bin 16 mirrors to 1, bin 0 stays
+    assert {k: c for k, c in got.items() if c} == {(1,) * both: 1, (0,) * both: 1}

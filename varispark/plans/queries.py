@@ -228,16 +228,23 @@ def _(df):
     return S.joint_sfs_folded_scaled(_two(df), "b", "c")
 
 
+def _fold_n(df: DataFrame, dac: str, least: int) -> int:
+    """Largest count, ``least`` at least, made odd: every bin of an odd n has a mirror, so the fold leaves none out."""
+    return max(least, df.agg(F.max(dac)).first()[0] or 0) | 1
+
+
 @on_calls("fold_sfs", "select case when k < 8 then k else 15 - k end k, sum(c)::bigint count from (select k, count(vidx) c from range(0, 16) t(k) left join v on b1 = k group by k) group by 1")
 def _(df):
-    s = S.sfs(_two(df).where("db <= 15"), "db", 15)
-    return S.fold_sfs(s, 15)
+    two = _two(df)
+    n = _fold_n(two, "db", 15)
+    return S.fold_sfs(S.sfs(two, "db", n), n)
 
 
 @on_calls("fold_joint_sfs", "select case when i < 4 then i else 7 - i end i, case when j < 4 then j else 7 - j end j, sum(c)::bigint count from (select i, j, count(vidx) c from range(0, 8) t(i) cross join range(0, 8) u(j) left join v on b1 = i and c1 = j group by i, j) group by 1, 2")
 def _(df):
-    s = S.joint_sfs(_two(df).where("db <= 7 and dc <= 7"), "db", "dc", 7, 7)
-    return S.fold_joint_sfs(s, 7, 7)
+    two = _two(df)
+    n1, n2 = _fold_n(two, "db", 7), _fold_n(two, "dc", 7)
+    return S.fold_joint_sfs(S.joint_sfs(two, "db", "dc", n1, n2), n1, n2)
 
 
 # ---------------------------------------------------------------- windows
