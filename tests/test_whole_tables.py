@@ -188,3 +188,21 @@ def test_folds_keep_high_counts(spark, tmp_path, name):
     both = 1 if name == "fold_sfs" else 2
     # n is 17: bin 16 mirrors to 1, bin 0 stays
     assert {k: c for k, c in got.items() if c} == {(1,) * both: 1, (0,) * both: 1}
+
+
+def test_pairwise_dxy_per_accessible_base(spark):
+    from varispark.operators import pairs as P
+
+    df = spark.createDataFrame([(1, [[2, 0], [0, 2]]), (5, [[2, 0], [0, 2]]), (9, [[2, 0], [2, 0]])], "pos long, gac array<array<long>>")
+    mask = spark.createDataFrame([(1, 3), (8, 20)], "start long, stop long")
+    assert P.pairwise_dxy(df).first()["dxy"] == 2 / 9
+    # of bases 1 to 10, 1-3 and 8-10 are accessible; the variant at 5 is not
+    assert P.pairwise_dxy(df, start=1, stop=10, accessible=mask).first()["dxy"] == 1 / 6
+
+
+def test_roh_mhmm_does_not_ignore_p_accessible(spark):
+    from varispark.operators import runs as R
+
+    df = spark.createDataFrame([(1, [[0, 0]])], "pos long, gt array<array<int>>")
+    with pytest.raises(NotImplementedError):
+        R.roh_mhmm(df, 10, p_accessible=0.9)

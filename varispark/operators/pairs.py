@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from varispark.functions import counts as C
 from varispark.operators import windows as W
+from varispark.operators.diversity import mask_inaccessible
 
 
 def r_value(x: Column, y: Column) -> Column:
@@ -154,15 +155,21 @@ def pairwise_distance(df: DataFrame, column: str = "gn", metric: str = "euclidea
     return got.select("i", "j", out.alias("distance"))
 
 
-def pairwise_dxy(df: DataFrame, gac: str = "gac", start: int | None = None, stop: int | None = None) -> DataFrame:
-    """(i, j, dxy) between samples, from per-call allele counts."""
+def pairwise_dxy(df: DataFrame, gac: str = "gac", start: int | None = None, stop: int | None = None, accessible: DataFrame | None = None) -> DataFrame:
+    """(i, j, dxy) between samples, from per-call allele counts; per accessible base if intervals are given."""
     rows = df if start is None else df.where(F.col("pos") >= start)
     rows = rows if stop is None else rows.where(F.col("pos") <= stop)
     g = F.col(gac)
     pairs = F.flatten(F.transform(g, lambda x, i: F.transform(F.slice(g, i + 2, F.size(g)), lambda y, k: F.struct(i.alias("i"), (i + k + 1).alias("j"), C.mean_pairwise_difference_between(x, y).alias("t")))))
     low, high = W.position_bounds(rows) if start is None or stop is None else (start, stop)
-    n = (high if stop is None else stop) - (low if start is None else start) + 1
-    return rows.select(F.explode(pairs).alias("p")).groupBy("p.i", "p.j").agg((F.coalesce(F.sum("p.t"), F.lit(0.0)) / n).alias("dxy"))
+    start, stop = low if start is None else start, high if stop is None else stop
+    if accessible is None:
+        n = F.lit(stop - start + 1)
+    else:
+        rows = mask_inaccessible(rows, accessible)
+        inside = accessible.agg(F.sum(F.greatest(F.lit(0), F.least("stop", F.lit(stop)) - F.greatest("start", F.lit(start)) + 1))).first()[0]
+        n = F.lit(inside or 0)
+    return rows.select(F.explode(pairs).alias("p")).groupBy("p.i", "p.j").agg(F.try_divide(F.coalesce(F.sum("p.t"), F.lit(0.0)), n).alias("dxy"))
 
 
 def condensed_coords(i: int, j: int, n: int) -> int:

@@ -97,6 +97,8 @@ def _roh(df: DataFrame, decode, contig_size: int, min_roh: int, gt: str, inclusi
 
 def roh_mhmm(df: DataFrame, contig_size: int, phet_roh: float = 0.001, phet_nonroh: Sequence[float] = (0.0025, 0.01), transition: float = 1e-6, min_roh: int = 0, p_accessible: float | None = None, gt: str = "gt") -> DataFrame:
     """Runs of homozygosity by a categorical HMM over every base (no variant, het), decoded by stretches."""
+    if p_accessible is not None:
+        raise NotImplementedError("inaccessible bases are not observed as such: p_accessible has no effect")
     het = np.array([phet_roh, *phet_nonroh])
     k = len(het)
     move, start = np.log(transition_matrix(transition, k)), np.log(np.full(k, 1 / k))
