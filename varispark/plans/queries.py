@@ -233,14 +233,17 @@ def _fold_n(df: DataFrame, dac: str, least: int) -> int:
     return max(least, df.agg(F.max(dac)).first()[0] or 0) | 1
 
 
-@on_calls("fold_sfs", "select case when k < 8 then k else 15 - k end k, sum(c)::bigint count from (select k, count(vidx) c from range(0, 16) t(k) left join v on b1 = k group by k) group by 1")
+_FOLD = "fn as (select greatest(15, max(b1)) | 1 nb, greatest(7, max(b1)) | 1 n1, greatest(7, max(c1)) | 1 n2 from v)"
+
+
+@on_calls("fold_sfs", "select least(k, nb - k) k, sum(c)::bigint count from (select k, nb, count(vidx) c from (select nb, unnest(range(0, nb + 1)) k from fn) left join v on b1 = k group by k, nb) group by 1", _FOLD)
 def _(df):
     two = _two(df)
     n = _fold_n(two, "db", 15)
     return S.fold_sfs(S.sfs(two, "db", n), n)
 
 
-@on_calls("fold_joint_sfs", "select case when i < 4 then i else 7 - i end i, case when j < 4 then j else 7 - j end j, sum(c)::bigint count from (select i, j, count(vidx) c from range(0, 8) t(i) cross join range(0, 8) u(j) left join v on b1 = i and c1 = j group by i, j) group by 1, 2")
+@on_calls("fold_joint_sfs", "select least(i, n1 - i) i, least(j, n2 - j) j, sum(c)::bigint count from (select i, j, n1, n2, count(vidx) c from (select n1, unnest(range(0, n1 + 1)) i from fn) cross join (select n2, unnest(range(0, n2 + 1)) j from fn) left join v on b1 = i and c1 = j group by all) group by 1, 2", _FOLD)
 def _(df):
     two = _two(df)
     n1, n2 = _fold_n(two, "db", 7), _fold_n(two, "dc", 7)
@@ -250,9 +253,9 @@ def _(df):
 # ---------------------------------------------------------------- windows
 
 
-@on_calls("windowed_count", *windowed_sql("count(*) one", 150, 100))
+@on_calls("windowed_count", "select w.w, window_start, window_stop, count(v.vidx) n from w left join v on pos between window_start and window_stop group by all", position_windows_sql(150, 100))
 def _(df):
-    return W.windowed(df, {"one": F.count("*")}, 150, step=100).withColumn("one", F.greatest(F.coalesce("one", F.lit(1)), F.lit(1)))
+    return W.windowed_count(df, 150, step=100)
 
 
 @on_calls("windowed_statistic", *windowed_sql("round(avg(a1), 9) mean, max(a2) top", 130, 50))
@@ -305,7 +308,7 @@ def _until_last(df: DataFrame, every: int, first: int = 0, least: int = 0) -> Da
     return df.sparkSession.range(max(least, (top - first) // every + 1))
 
 
-@on_calls("windowed_given", "select gw.w, window_start, window_stop, count(vidx) n, sum(a1)::bigint s from gw left join v on pos between window_start and window_stop group by all", "gw as (select i w, i * 37 + 1 window_start, i * 37 + 5 + i * 3 window_stop from range(0, 20) t(i))")
+@on_calls("windowed_given", "select gw.w, window_start, window_stop, count(vidx) n, sum(a1)::bigint s from gw left join v on pos between window_start and window_stop group by all", "gw as (select i w, i * 37 + 1 window_start, i * 37 + 5 + i * 3 window_stop from (select unnest(range(0, greatest(20, (max(pos) - 1) // 37 + 1))) i from v))")
 def _(df):
     gw = _until_last(df, 37, 1, least=20).select(F.col("id").alias("w"), (F.col("id") * 37 + 1).alias("window_start"), (F.col("id") * 40 + 5).alias("window_stop"))
     return W.windowed_given(df, {"s": F.sum(F.col("ac")[1])}, gw, bin_size=64)
@@ -329,7 +332,7 @@ def _(df):
     return V.sequence_diversity(df).select(r("pi").alias("pi"))
 
 
-@on_calls("sequence_divergence", f"select round(sum({mpdb('b', 'c')}) / (150 - 11 + 1), 9) dxy from v where pos between 11 and 150")
+@on_calls("sequence_divergence", f"select round(sum({mpdb('b', 'c')}) / (max(pos) - min(pos) + 1), 9) dxy from v")
 def _(df):
     return V.sequence_divergence(df, "ac_b", "ac_c").select(r("dxy").alias("dxy"))
 
@@ -470,12 +473,12 @@ def _(df):
     return query(df.select("vidx", F.col("ac")[0].alias("a0"), F.col("ac")[1].alias("a1"), F.col("ac")[2].alias("a2")), "((a1 > 8) & (a0 < 12)) | ~(a2 != 5)").select("vidx", "a0", "a1")
 
 
-@on_calls("index_intersect", "select vidx, pos from v semi join (select i * 7 pos from range(0, 400) t(i)) using (pos)")
+@on_calls("index_intersect", "select vidx, pos from v semi join (select unnest(range(0, max(pos) // 7 + 1)) * 7 pos from v) using (pos)")
 def _(df):
     return I.intersect(df, _until_last(df, 7).select((F.col("id") * 7).alias("pos")), "pos").select("vidx", "pos")
 
 
-@on_calls("index_locate_keys", "select vidx, pos in (select i * 7 from range(0, 400) t(i)) found from v")
+@on_calls("index_locate_keys", "select vidx, pos in (select unnest(range(0, max(pos) // 7 + 1)) * 7 from v) found from v")
 def _(df):
     return I.locate_keys(df, _until_last(df, 7).select((F.col("id") * 7).alias("pos")), "pos", strict=False).select("vidx", "found")
 
@@ -485,7 +488,7 @@ def _(df):
     return I.locate_range(df, "pos", 50, 77).select("vidx", "pos")
 
 
-_RANGES = "rg as (select i * 61 + 3 start, i * 61 + 3 + i % 9 stop from range(0, 60) t(i))"
+_RANGES = "rg as (select i * 61 + 3 start, i * 61 + 3 + i % 9 stop from (select unnest(range(0, (max(pos) - 3) // 61 + 1)) i from v))"
 _ranges = lambda df: _until_last(df, 61, 3).select((F.col("id") * 61 + 3).alias("start"), (F.col("id") * 61 + 3 + F.col("id") % 9).alias("stop"))
 
 
@@ -499,7 +502,7 @@ def _(df):
     return I.locate_intersection_ranges(df, _ranges(df), "pos", bin_size=50)[1].select("start", "stop")
 
 
-@on_calls("feature_mask", "select min(p) start, max(p) stop from (select p, p - row_number() over (order by p) grp from (select distinct unnest(range(start, stop + 1)) p from ft)) group by grp", "ft as (select i * 13 + 1 start, i * 13 + 1 + (i * 7) % 20 stop from range(0, 90) t(i))")
+@on_calls("feature_mask", "select min(p) start, max(p) stop from (select p, p - row_number() over (order by p) grp from (select distinct unnest(range(start, stop + 1)) p from ft)) group by grp", "ft as (select i * 13 + 1 start, i * 13 + 1 + (i * 7) % 20 stop from (select unnest(range(0, greatest(90, (max(pos) - 1) // 13 + 1))) i from v))")
 def _(df):
     ft = _until_last(df, 13, 1, least=90).select((F.col("id") * 13 + 1).alias("start"), (F.col("id") * 13 + 1 + (F.col("id") * 7) % 20).alias("end"))
     return I.interval_union(ft)
@@ -633,7 +636,7 @@ def _(df):
     return D.weir_cockerham(df, _POPS, 1).select("vidx", r("wc_a").alias("wc_a"), r("wc_b").alias("wc_b"), r("wc_c").alias("wc_c"))
 
 
-@on_grid("moving_weir_cockerham_fst", "select vidx // 25 w, round(sum(a) / sum(a + b + c), 9) fst from wc group by 1", _WC)
+@on_grid("moving_weir_cockerham_fst", "select vidx // 25 w, round(sum(a) / sum(a + b + c), 9) fst from wc where vidx < (select (max(vidx) + 1) // 25 * 25 from wc) group by 1", _WC)
 def _(df):
     return D.moving_weir_cockerham_fst(df, _POPS, 25, 1).withColumn("fst", r("fst"))
 
@@ -641,17 +644,18 @@ def _(df):
 # ---------------------------------------------------------------- pairs and haplotypes
 
 _GN = "n as (select vidx, pos, s, case when x < 0 or y < 0 then -1 else (x > 0)::int + (y > 0)::int end v from c)"
-_R = "(count(*) * sum(p.v * q.v) - sum(p.v) * sum(q.v))::double / nullif(sqrt((count(*) * sum(p.v * p.v) - sum(p.v) * sum(p.v))::double * (count(*) * sum(q.v * q.v) - sum(q.v) * sum(q.v))), 0)"
+_ON = "filter (where p.v >= 0 and q.v >= 0)"
+_R = f"(count(*) {_ON} * sum(p.v * q.v) {_ON} - sum(p.v) {_ON} * sum(q.v) {_ON})::double / nullif(sqrt((count(*) {_ON} * sum(p.v * p.v) {_ON} - sum(p.v) {_ON} * sum(p.v) {_ON})::double * (count(*) {_ON} * sum(q.v * q.v) {_ON} - sum(q.v) {_ON} * sum(q.v) {_ON})), 0)"
 _contig_size = lambda df: W.position_bounds(df)[1] + 9  # a variant stands at the first of its ten bases
 _gn = lambda df, fill=-1: df.select("vidx", "pos", G.to_n_alt(F.col("gt"), fill).alias("gn"))
 
 
-@on_grid("rogers_huff_r", f"select i, j, round(r, 7) r from (select i, j, max(r) r from (select p.vidx i, q.vidx j, case when true then {_R} end r from n p join n q on p.s = q.s and p.vidx < q.vidx and q.vidx - p.vidx <= 30 where p.v >= 0 and q.v >= 0 group by all) group by all)", _GN)
+@on_grid("rogers_huff_r", f"select p.vidx i, q.vidx j, round({_R}, 7) r from n p join n q on p.s = q.s and p.vidx < q.vidx group by 1, 2", _GN)
 def _(df):
     return P.rogers_huff_r(_gn(df)).withColumn("r", F.round("r", 7))
 
 
-@on_grid("windowed_r_squared", f"select w, quantile_cont(r * r, 0.5) p50 from (select p.vidx // 20 w, p.vidx i, q.vidx j, {_R} r from n p join n q on p.s = q.s and p.vidx < q.vidx and p.vidx // 20 = q.vidx // 20 where p.v >= 0 and q.v >= 0 group by all) group by w", _GN)
+@on_grid("windowed_r_squared", f"select w, quantile_cont(r * r, 0.5) p50 from (select p.vidx // 20 w, p.vidx i, q.vidx j, {_R} r from n p join n q on p.s = q.s and p.vidx < q.vidx and p.vidx // 20 = q.vidx // 20 group by 1, 2, 3) group by w", _GN)
 def _(df):
     got = P.windowed_r_squared(_gn(df), 200, start=1, stop=_contig_size(df))
     return got.select("w", F.col("p50"))
@@ -667,12 +671,12 @@ def _(df):
     return P.pairwise_distance(_gn(df, 0)).withColumn("distance", F.round("distance", 7))
 
 
-@on_grid("pairwise_dxy", "select p.s::int i, q.s::int j, round(sum(1 - (p.r * q.r + p.t * q.t)::double / nullif((p.r + p.t) * (q.r + q.t), 0)) / 1991, 9) dxy from m p join m q on p.vidx = q.vidx and p.s < q.s group by 1, 2", "m as (select vidx, s, (x = 0)::int + (y = 0)::int r, (x = 1)::int + (y = 1)::int t from c)")
+@on_grid("pairwise_dxy", "select p.s::int i, q.s::int j, round(sum(1 - (p.r * q.r + p.t * q.t)::double / nullif((p.r + p.t) * (q.r + q.t), 0)) / (select max(pos) from c), 9) dxy from m p join m q on p.vidx = q.vidx and p.s < q.s group by 1, 2", "m as (select vidx, s, (x = 0)::int + (y = 0)::int r, (x = 1)::int + (y = 1)::int t from c)")
 def _(df):
     return P.pairwise_dxy(df.withColumn("gac", G.to_allele_counts(F.col("gt"), 1)), start=1, stop=W.position_bounds(df)[1]).withColumn("dxy", r("dxy"))
 
 
-_SEQ = "sq as (select vidx // 3 w, hidx, string_agg(a::varchar, ',' order by vidx) q from g where vidx < 198 group by all), cn as (select w, q, count(*) n from sq group by all), rk as (select w, n / 40.0::double f, row_number() over (partition by w order by n desc) r from cn)"
+_SEQ = "sq as (select vidx // 3 w, hidx, string_agg(a::varchar, ',' order by vidx) q from g where vidx < (select (max(vidx) + 1) // 3 * 3 from g) group by all), cn as (select w, q, count(*) n from sq group by all), rk as (select w, n / 40.0::double f, row_number() over (partition by w order by n desc) r from cn)"
 
 
 @on_grid("moving_garud_h", "select w, round(sum(f * f), 9) h1, round(pow(sum(f) filter (where r <= 2), 2) + coalesce(sum(f * f) filter (where r > 2), 0), 9) h12, round(pow(sum(f) filter (where r <= 3), 2) + coalesce(sum(f * f) filter (where r > 3), 0), 9) h123, round(coalesce(sum(f * f) filter (where r > 1), 0) / sum(f * f), 9) h2_h1, round((1 - sum(f * f)) * 40 / 39, 9) diversity from rk group by w", _SEQ)
@@ -680,22 +684,22 @@ def _(df):
     return H.moving_garud_h(df, 3).select("w", *[r(c).alias(c) for c in ("h1", "h12", "h123", "h2_h1", "diversity")])
 
 
-@on_grid("haplotype_distinct", "select n count, round(n / 40.0::double, 9) frequency, count(*) groups from (select q, count(*) n from (select hidx, string_agg(a::varchar, ',' order by vidx) q from g where vidx < 6 group by hidx) group by q) group by n")
+@on_grid("haplotype_distinct", "select n count, round(n / 40.0::double, 9) frequency, count(*) groups from (select q, count(*) n from (select hidx, string_agg(a::varchar, ',' order by vidx) q from g group by hidx) group by q) group by n")
 def _(df):
     return H.distinct(df).groupBy("count", r("frequency").alias("frequency")).agg(F.count("*").alias("groups"))
 
 
-@on_grid("ehh_decay", "select d, round(count(*) filter (where br > d) / count(*)::double, 9) ehh from (select i, j, coalesce(min(vidx) filter (where u <> w), 30) br from (select p.vidx, p.hidx i, q.hidx j, p.a u, q.a w from g p join g q on p.vidx = q.vidx and p.hidx < q.hidx where p.vidx < 30) group by all), range(0, 30) t(d) group by d")
+@on_grid("ehh_decay", "select d, round(count(*) filter (where br > d) / count(*)::double, 9) ehh from (select i, j, coalesce(min(vidx) filter (where u <> w), (select max(vidx) + 1 from g)) br from (select p.vidx, p.hidx i, q.hidx j, p.a u, q.a w from g p join g q on p.vidx = q.vidx and p.hidx < q.hidx) group by all), (select distinct vidx d from g) group by d")
 def _(df):
     return H.ehh_decay(df).select("d", r("ehh").alias("ehh"))
 
 
-@on_grid("shared_suffix_lengths", "select vidx, hi::int i, hj::int j, vidx - coalesce(max(case when u >= 0 and w >= 0 and u <> w then vidx end) over (partition by hi, hj order by vidx), -1) ssl from (select p.vidx, p.hidx hi, q.hidx hj, p.a u, q.a w from g p join g q on p.vidx = q.vidx and p.hidx < q.hidx where p.hidx < 8 and q.hidx < 8)")
+@on_grid("shared_suffix_lengths", "select vidx, hi::int i, hj::int j, vidx - coalesce(max(case when u >= 0 and w >= 0 and u <> w then vidx end) over (partition by hi, hj order by vidx), -1) ssl from (select p.vidx, p.hidx hi, q.hidx hj, p.a u, q.a w from g p join g q on p.vidx = q.vidx and p.hidx < q.hidx)")
 def _(df):
     return H.shared_suffix_lengths(df, by_class=False).select("vidx", "i", "j", "ssl")
 
 
-_NSL = "pr as (select p.vidx, p.hidx hi, q.hidx hj, p.a u, q.a w from g p join g q on p.vidx = q.vidx and p.hidx < q.hidx where p.hidx < 12 and q.hidx < 12), ss as (select *, vidx - coalesce(max(case when u >= 0 and w >= 0 and u <> w then vidx end) over (partition by hi, hj order by vidx), -1) f, coalesce(min(case when u >= 0 and w >= 0 and u <> w then vidx end) over (partition by hi, hj order by vidx desc), 200) - vidx b from pr)"
+_NSL = "pr as (select p.vidx, p.hidx hi, q.hidx hj, p.a u, q.a w from g p join g q on p.vidx = q.vidx and p.hidx < q.hidx), ss as (select *, vidx - coalesce(max(case when u >= 0 and w >= 0 and u <> w then vidx end) over (partition by hi, hj order by vidx), -1) f, coalesce(min(case when u >= 0 and w >= 0 and u <> w then vidx end) over (partition by hi, hj order by vidx desc), (select max(vidx) + 1 from g)) - vidx b from pr)"
 
 
 @on_grid("nsl", "select v.vidx, round(ln(b1 / b0), 9) nsl from (select distinct vidx from g) v left join (select vidx, avg(f) filter (where u = 0 and w = 0) + avg(b) filter (where u = 0 and w = 0) b0, avg(f) filter (where u = 1 and w = 1) + avg(b) filter (where u = 1 and w = 1) b1 from ss group by vidx) s on s.vidx = v.vidx", _NSL)
@@ -716,11 +720,11 @@ def _(df):
     return df.select("vidx", F.posexplode(M.paint_transmission(F.col("gt")[0], F.slice("h", 3, 38))).alias("gamete", "state"))
 
 
-_EV = "ev as (select event_id idx, event_type st from events where event_type <> 'view'), lg as (select *, lag(idx) over (partition by idx // 500 order by idx) prev, lead(idx) over (partition by idx // 500 order by idx) nxt, case when lag(st) over (partition by idx // 500 order by idx) = st then 0 else 1 end nw from ev), rn as (select *, sum(nw) over (partition by idx // 500 order by idx) run from lg)"
+_EV = "ev as (select user_id part, event_id idx, event_type st from events where event_type <> 'view'), lg as (select *, lag(idx) over (partition by part order by idx) prev, lead(idx) over (partition by part order by idx) nxt, case when lag(st) over (partition by part order by idx) = st then 0 else 1 end nw from ev), rn as (select *, sum(nw) over (partition by part order by idx) run from lg)"
 
 
 def _events(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
-    ev = read(spark, d, "events").select("event_id", "event_type", F.floor(F.col("event_id") / 500).alias("part"))
+    ev = read(spark, d, "events").select("event_id", "event_type", F.col("user_id").alias("part"))
     return ev, [x[0] for x in ev.select("event_type").distinct().collect() if x[0] != "view"]
 
 
@@ -730,7 +734,7 @@ def _state_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["state_blocks"] = _state_blocks
-SQL["state_blocks"] = f"with {_EV} select part, state, support, start_lidx, start_ridx, stop_lidx, stop_ridx, stop_lidx - start_ridx + 1 size_min, case when start_lidx = -1 or stop_ridx = -1 then -1 else stop_ridx - start_lidx - 1 end size_max, start_lidx = -1 or stop_ridx = -1 is_marginal from (select idx // 500 part, any_value(st) state, count(*) support, coalesce(arg_min(coalesce(prev, -1), idx), -1) start_lidx, min(idx) start_ridx, max(idx) stop_lidx, coalesce(arg_max(coalesce(nxt, -1), idx), -1) stop_ridx from rn group by part, run)"
+SQL["state_blocks"] = f"with {_EV} select part, state, support, start_lidx, start_ridx, stop_lidx, stop_ridx, stop_lidx - start_ridx + 1 size_min, case when start_lidx = -1 or stop_ridx = -1 then -1 else stop_ridx - start_lidx - 1 end size_max, start_lidx = -1 or stop_ridx = -1 is_marginal from (select part, any_value(st) state, count(*) support, coalesce(arg_min(coalesce(prev, -1), idx), -1) start_lidx, min(idx) start_ridx, max(idx) stop_lidx, coalesce(arg_max(coalesce(nxt, -1), idx), -1) stop_ridx from rn group by part, run)"
 
 
 def _state_transitions(spark: SparkSession, d: str) -> DataFrame:
@@ -739,7 +743,7 @@ def _state_transitions(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["state_transitions"] = _state_transitions
-SQL["state_transitions"] = f"with {_EV} select part, lstate, rstate, lidx, ridx from (select idx // 500 part, lag(st) over (partition by idx // 500 order by idx) lstate, st rstate, coalesce(prev, -1) lidx, idx ridx from lg) where lstate is null or lstate <> rstate union all select idx // 500, st, null, idx, -1 from lg where nxt is null"
+SQL["state_transitions"] = f"with {_EV} select part, lstate, rstate, lidx, ridx from (select part, lag(st) over (partition by part order by idx) lstate, st rstate, coalesce(prev, -1) lidx, idx ridx from lg) where lstate is null or lstate <> rstate union all select part, st, null, idx, -1 from lg where nxt is null"
 
 # ---------------------------------------------------------------- without SQL
 
