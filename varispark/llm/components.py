@@ -2,33 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varispark.session import materialise
 
-#: Edges that one task finishes, in some 20 MB; any larger graph takes rounds.
-LOCAL_EDGES = 200_000
-
 
-def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of ``edges`` (a, b); the component is its smallest id.
 
     Alternates large and small stars: each vertex hands the smallest vertex around it to
     its larger (then to its other) neighbours, so trees flatten to stars in about
     log2(diameter) rounds. Each round is two aggregations with map-side combine and two
-    joins, and is written to the shared folder. Nothing is gathered on the driver. A
-    graph of at most ``local_edges`` edges is joined up by one task instead, with the
-    same result.
+    joins, and is written to the shared folder. Nothing is gathered on the driver or
+    in one task.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = _checksum(now)
-    if state[0] <= local_edges:
-        return materialise(now.coalesce(1).mapInArrow(_join_up, "id bigint, component bigint"))
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -47,21 +37,3 @@ def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> Da
 def _checksum(edges: DataFrame) -> tuple[int, int]:
     r = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
     return r[0], r[1]
-
-
-def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find with path halving; roots are the smallest ids."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = x = up[y]
-        return x
-
-    for b in batches:
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            p, q = root(u), root(v)
-            if p != q:
-                up[max(p, q)] = min(p, q)
-    ids = np.fromiter(up, np.int64, len(up))
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([root(x) for x in ids.tolist()], pa.int64())], ["id", "component"])

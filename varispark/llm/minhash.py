@@ -7,16 +7,20 @@ variance. The signature is cut into bands of ``ROWS`` values; documents that sha
 band are candidates, and every link is confirmed on the full sets.
 
 Scale. Documents with equal sets are one vertex from the start. In a band, all members
-are first compared with one centre; members that this leaves in different components
-are compared with other centres, and those still apart then with each other, every pair
-once. Pairs inside one component are never formed, so large groups of
-copies cost about one comparison a member, yet no link between components is lost: at
-similarity 0.8, two documents share no band with a probability of 3e-6.
+are first compared with one centre of other component, then with other centres, so large
+groups of copies cost about one comparison a member. Members of bands that this leaves
+in several components meet by a prefix filter: each set's shingles are put in order of
+rising count, and two sets of similarity 0.8 share one among the first few of both, of
+which few there are the fewer the more alike the sizes are. Documents that differ by
+shingles of their own have those in front and don't meet, so work follows the links and
+not the square of a group, and no link between components is lost: at similarity 0.8,
+two documents share no band with a probability of 3e-6.
 
 Edge cases: null or empty texts, or those without words, have an empty set and are
 linked with nothing; a single word is a set of one; rows of one id count as one
 document, and are linked; rows without an id are linked with nothing and kept; an empty
-table gives an empty result.
+table gives an empty result; a long text is hashed whole, alone in its chunk; other
+columns travel under names of their own, so none can clash.
 """
 
 from __future__ import annotations
@@ -34,8 +38,10 @@ from varispark.session import materialise
 
 PERMUTATIONS = 80
 ROWS = 5
-#: Rounds of comparing the members of a band with one centre, before those still apart are compared with each other.
+#: Rounds of comparing the members of a band with one centre, before those still apart meet by the prefix filter.
 TURNS = 3
+#: Sizes within about this share of each other form a bucket of the prefix filter.
+_SIZE_STEP = 0.03
 _RNG = np.random.default_rng(977)
 _A = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -105,7 +111,7 @@ def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for t in batches:
             keep = []
             for x, y in zip(t.column("sa"), t.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = (np.asarray(z.values).view(np.uint64) for z in (x, y))
                 both = _common(x, y)
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
@@ -113,6 +119,36 @@ def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint")
 
 
+def _prefix_pairs(state: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``state`` (id, n, component) in different components that may be linked: no link is missed.
+
+    A pair's overlap must reach percent * (na + nb) / (100 + percent). If the first
+    shingle that both have, in the common order, stands at places i and j, the overlap is at
+    most min(na - i, nb - j). So the smaller set is entered under its places up to the
+    bound for an equal partner, and the larger one asks under its places up to the
+    bound for the least size in each bucket of sizes.
+    """
+    need = lambda x, y: F.ceil((x + y) * percent / F.lit(100.0 + percent) - F.lit(1e-9))
+    bucket = lambda x: F.floor(F.ln(x.cast("double")) / _SIZE_STEP).cast("int")
+    n, items = F.col("n"), F.col("items")
+    least = F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9))
+    tokens = sets.join(state, "id").select("id", "n", "component", F.explode("shingles").alias("s"))
+    common = tokens.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    # shingles of one set alone come first; they are counted, not listed
+    lists = tokens.join(common, "s").groupBy("id", "n", "component").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("t"))
+    lists = lists.withColumn("own", n - F.size("t")).withColumn("room", n - least + 1 - F.col("own")).where("room > 0")
+    lists = materialise(lists.select("id", "n", "component", "own", F.transform(F.slice("t", 1, F.col("room").cast("int")), lambda x: x["s"]).alias("items")))
+    entered = lists.select("id", "n", "component", bucket(n).alias("bucket"), F.posexplode(F.slice(items, 1, F.greatest(F.lit(0), n - need(n, n) + 1 - F.col("own")).cast("int"))).alias("i", "s"), "own")
+    asked = lists.select("id", "n", "component", "own", "items", F.explode(F.sequence(bucket(least), bucket(n))).alias("bucket"))
+    low = F.greatest(least, F.floor(F.exp(F.col("bucket") * _SIZE_STEP)) - 1)
+    asked = asked.select("id", "n", "component", "own", "bucket", F.posexplode(F.slice(items, 1, F.greatest(F.lit(0), n - need(n, low) + 1 - F.col("own")).cast("int"))).alias("i", "s"))
+    x = entered.select("s", "bucket", F.col("id").alias("ia"), F.col("n").alias("na"), F.col("component").alias("ca"), (F.col("n") - F.col("own") - F.col("i")).alias("ra"))
+    y = asked.select("s", "bucket", F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("component").alias("cb"), (F.col("n") - F.col("own") - F.col("i")).alias("rb"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ia") < F.col("ib")))
+    met = x.join(y, ["s", "bucket"]).where(smaller & (F.col("ca") != F.col("cb"))).where(F.expr(f"least(ra, rb) * {100 + percent} >= {percent} * (na + nb)"))
+    return met.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
+
+
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     if len(x) > len(y):
         x, y = y, x
@@ -140,7 +176,7 @@ class NearDuplicates:
         self.components = self._link()
 
     def _link(self) -> DataFrame:
-        """(id, component) for every class that has a link."""
+        """(id, component) for every class that shares a band with another one."""
         rows = self.classes.select("id", "n", "chunk_id", "place", F.explode("bands").alias("band"))
         shared = rows.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
         members = materialise(rows.join(shared, "band"))
@@ -148,43 +184,39 @@ class NearDuplicates:
         k = self.words
 
         def sets_of(c: Chunk, got: list[tuple[int, bytes]]) -> pa.Table:
-            at = [p for p, _ in got]
-            if not at:
-                return pa.table({"id": pa.array([], pa.int64()), "shingles": pa.array([], pa.binary())})
-            h, _, first = _shingles(c, k)
-            return pa.table({"id": c.id_array.take(pa.array(at)), "shingles": pa.array([h[first[p] : first[p + 1]].tobytes() for p in at], pa.binary())})
-
-        sets = materialise(with_replies(self.chunks, wanted, sets_of, "id bigint, shingles binary"))
-        members = members.select("band", "id", "n")
+            at = np.array(sorted(p for p, _ in got), np.int64)
+            if not len(at):
+                return pa.table({"id": pa.array([], pa.int64()), "shingles": pa.array([], pa.list_(pa.int64()))})
+            h, counts, first = _shingles(c, k)
+            values = np.concatenate([h[first[p] : first[p + 1]] for p in at]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts[at])), pa.int32()), pa.array(values))
+            return pa.table({"id": c.id_array.take(pa.array(at)), "shingles": lists})
+
+        sets = materialise(with_replies(self.chunks, wanted, sets_of, "id bigint, shingles array<bigint>"))
+        state = members.select("id", "n").distinct().withColumn("component", F.col("id"))
+        members = members.select("band", "id")
         similar_size = F.expr(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
-        now = members.withColumn("component", F.col("id"))
-        tested = links = None
         for turn in range(TURNS):
+            now = members.join(state, "id")
             # the first centre of a band is its smallest id, later ones are others
             by = F.struct(F.xxhash64("id", F.lit(turn)), "id") if turn else F.struct("id")
             centre = now.groupBy("band").agg(F.min_by(F.struct("id", "n", "component"), by).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
             centre = centre.select("band", F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca"))
             pairs = now.select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")).join(centre, "band").where("ca <> cb").where(similar_size)
-            fresh = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-            if turn and fresh.isEmpty():
-                break
-            tested = fresh if tested is None else tested.unionByName(fresh)
-            confirmed = _confirm(fresh, sets, self.percent)
-            links = materialise(confirmed if links is None else links.unionByName(confirmed))
-            components = connected_components(links)
-            now = materialise(members.join(components, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component")))
-        # what is still apart is compared with each other, every pair once: in the first band that it shares
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            state = self._merge(state, _confirm(pairs, sets, self.percent))
+        now = members.join(state, "id")
         apart = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-        rest = now.join(apart, "band").join(self.classes.select("id", "bands"), "id")
-        a, b = (rest.select("band", *[F.col(x).alias(x[0] + y if x != "bands" else "bands_" + y) for x in ("n", "component", "bands")], F.col("id").alias(y)) for y in "ab")
-        once = F.expr("bands_a[array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) - 1] = band")
-        pairs = a.join(b, "band").where("a < b and ca <> cb").where(similar_size).where(once).select("a", "b").distinct()
-        fresh = materialise(pairs.join(tested, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            links = materialise(links.unionByName(_confirm(fresh, sets, self.percent)))
-            components = connected_components(links)
-        self.links = links
-        return components
+        rest = now.join(apart, "band").select("id", "n", "component").distinct()
+        return self._merge(state, _confirm(_prefix_pairs(rest, sets, self.percent), sets, self.percent)).select("id", "component")
+
+    def _merge(self, state: DataFrame, links: DataFrame) -> DataFrame:
+        """``state`` with the components that ``links`` (a, b) join; the graph of components alone is walked."""
+        of = state.select("id", "component")
+        ends = links.join(of.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+        roots = connected_components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        roots = roots.select(F.col("id").alias("component"), F.col("component").alias("root"))
+        return materialise(state.join(roots, "component", "left").select("id", "n", F.coalesce("root", "component").alias("component")))
 
     def result(self) -> DataFrame:
         """One row per document: doc_id, n_shingles, component_id, kept."""
