@@ -54,6 +54,30 @@ def test_chunks_encode_as_the_whole_text(text):
 ENCODER = ChunkEncoder(PATH)
 
 
+def test_every_character_alone_and_before_a_symbol():
+    """Composition and lower case may leave a mark at the end of a letter, which then belongs to the symbol."""
+    import sys
+    import unicodedata
+
+    each = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    for texts in (each, [c + "." for c in each], ["a" + c + ">" for c in each]):
+        want = [np.array(e.ids, "<u4").tobytes() for e in ENCODER.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        got = ENCODER.encode_all(texts)
+        assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+def test_special_tokens_in_any_case_and_long_words():
+    for text in ("a <|ENDOFTEXT|> b", "<|EndOfText|>.", "x" * 5000 + ". y", "ÜBER" * 100 + ","):
+        assert ENCODER.encode(text) == np.array(ENCODER.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert max(map(len, ENCODER.known)) <= 64
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    rows = [(None, "the same text", "en", "s", 0)] * 400
+    got = pack(spark.createDataFrame(rows, SCHEMA).repartition(8), PATH, group_docs=16).collect()
+    assert sum(r.length for r in got) == 400 * got[0].doc_tokens and len({r.sequence_id >> 32 for r in got}) > 2
+
+
 def test_pieces_against_the_tokenizer(spark):
     rows = corpus(8, n=40) + [(5000, "long words " * 6000, "en", "s", 0), (5001, "<|endoftext|> a\x1cb", "en", "s", 0), (5001, "<|endoftext|> a\x1cb", "en", "s", 0), (None, "no id", "en", "s", 0)]
     got = pack(spark.createDataFrame(rows, SCHEMA).repartition(3), PATH, group_docs=16).collect()

@@ -1,8 +1,9 @@
 """Sequence packing: first-fit decreasing with a tournament tree of bin capacities.
 
-Documents are tokenised and dealt to randomised groups by a hash of their content; each
-group is packed on its own, so packing scales with the number of groups and a group's
-memory is bounded by its size. In a group:
+Documents are tokenised and dealt to randomised groups by a hash of their content and
+their input partition; each group is packed on its own, so packing scales with the number
+of groups. Groups are counted by documents and by bytes, so a group's memory follows
+neither; rows of one id and text spread as they do over the input. In a group:
 
 1. Documents of ``capacity`` tokens or more are cut into full sequences.
 2. What remains is placed by first-fit decreasing. A tournament tree holds the free room
@@ -14,15 +15,19 @@ memory is bounded by its size. In a group:
 
 Tokens come from a public tokenizer file; every white-space separated chunk of a text is
 encoded once and remembered, as this tokenizer's normaliser and splitter never look
-across white space; memory for that is bounded.
+across white space; the number and the length of what is remembered are bounded.
 
-Edge cases: a null or empty text has the end token alone; repeated rows are packed as
-separate documents; an empty table gives no pieces; texts that hold a special token's
-string are encoded whole, so the library decides.
+Edge cases: a null or empty text has the end token alone; a null id stays null; repeated
+rows are packed as separate documents; an empty table gives no pieces; texts that hold
+the start of a special token are encoded whole, so the library decides; a long text, or a
+long word, is encoded whole and cut by tokens only; ties in length go by id and content;
+of other columns none is read, whatever they are called.
 """
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import os
 import re
 import zlib
@@ -39,10 +44,13 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the thread
 
 CAPACITY = 4096
 END_ID = 2
-#: Documents of a group, about.
+#: Documents of a group, and bytes of its texts, about: whichever makes more groups.
 GROUP_DOCS = 512
+GROUP_BYTES = 2 << 20
 #: Remembered chunks of text in each of two generations; the memory of a worker is bounded by it.
 _REMEMBERED = 500_000
+#: Characters of a remembered chunk, at most.
+_LONGEST = 64
 #: Characters whose lower case or composition could depend on the Unicode version.
 _BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: Symbols that end a word and form one pre-token by themselves.
@@ -53,11 +61,15 @@ class ChunkEncoder:
     """Encodes texts with a tokenizer that never merges across white space."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Special tokens, and separators that only Python takes for white space.
-        self.special = [*(t.content for t in self.tokenizer.get_added_tokens_decoder().values()), *"\x1c\x1d\x1e\x1f"]
+        #: For words of letters in lower case that composition leaves alone: split at spaces, and encode.
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.normalizer = None
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        #: Starts of special tokens in either case, and separators that only Python takes for white space.
+        self.special = [*{t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}, *"\x1c\x1d\x1e\x1f"]
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -71,68 +83,82 @@ class ChunkEncoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """``encode`` for many texts; what they have that is new is encoded together."""
-        out: list[bytes | None] = []
+        out: list[bytes] = [b""] * len(texts)
         waiting = []
-        for t in texts:
+        missing: set[str] = set()
+        get = self.known.get
+        for k, t in enumerate(texts):
             if any(s in t for s in self.special):
-                out.append(_ids_bytes(self.tokenizer.encode(t, add_special_tokens=False).ids))
+                out[k] = _ids_bytes(self.tokenizer.encode(t, add_special_tokens=False).ids)
+                continue
+            # lower case as the normaliser does, so more chunks are alike
+            chunks = (t.lower() if t.isascii() or not _BEYOND.search(t) else t).split()
+            ids = list(map(get, chunks))
+            holes = [i for i, x in enumerate(ids) if x is None]
+            if holes:
+                missing.update([chunks[i] for i in holes])
+                waiting.append((k, chunks, ids, holes))
             else:
-                out.append(None)
-                # as the normaliser does, so more chunks are alike
-                waiting.append((t if _BEYOND.search(t) else t.lower()).split())
-        missing = {c for chunks in waiting for c in chunks if c not in self.known}
+                out[k] = b"".join(ids)
         if missing:
-            if len(self.known) + len(missing) > _REMEMBERED:
-                self.older, self.known = self.known, {}
-                missing = {c for chunks in waiting for c in chunks}
-            self._learn(missing)
-        get = self.known.__getitem__
-        found = iter(waiting)
-        return [x if x is not None else b"".join(map(get, next(found))) for x in out]
-
-    def _learn(self, missing: set[str]) -> None:
-        """Encode what no generation of the memory has; letters and the symbols after them are separate pre-tokens."""
+            fresh = self._learn(missing)
+            for k, chunks, ids, holes in waiting:
+                for i in holes:
+                    ids[i] = fresh[chunks[i]]
+                out[k] = b"".join(ids)
+        return out
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that the newer generation lacks, remembered but for long ones.
+
+        Letters and the symbols after them are separate pre-tokens, encoded apart. That
+        is done only for letters which lower case and composition leave letters.
+        """
+        if len(self.known) + len(missing) > _REMEMBERED:
+            self.older, self.known = self.known, {}
         known, older = self.known, self.older
+        found: dict[str, bytes] = {}
         split: list[tuple[str, str, str]] = []
         fresh: set[str] = set()
         for c in missing:
             ids = older.get(c)
             if ids is not None:
-                known[c] = ids
+                found[c] = ids
                 continue
             word = c.rstrip(_SYMBOLS)
-            if word != c and word.isalpha():
+            if word != c and word.isalpha() and (word.isascii() or not _BEYOND.search(word)):
                 tail = c[len(word) :]
                 split.append((c, word, tail))
                 for x in (word, tail):
-                    if x not in known:
-                        ids = older.get(x)
+                    if x not in found:
+                        ids = known.get(x) or older.get(x)
                         if ids is None:
                             fresh.add(x)
                         else:
-                            known[x] = ids
+                            found[x] = ids
             else:
                 fresh.add(c)
-        words = [x for x in fresh if x.isalpha()]
-        if words and not self._learn_words(words):
+        words = [x for x in fresh if x.isalpha() and (x.isascii() or not _BEYOND.search(x))]
+        if words and not self._learn_words(words, found):
             words = []
         rest = list(fresh.difference(words))
         for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[c] = _ids_bytes(e.ids)
+            found[c] = _ids_bytes(e.ids)
         for c, word, tail in split:
-            known[c] = known[word] + known[tail]
-
+            found[c] = found[word] + found[tail]
+        known.update(found if max(map(len, found)) <= _LONGEST else {c: x for c, x in found.items() if len(c) <= _LONGEST})
+        return found
 
-    def _learn_words(self, words: list[str]) -> bool:
+    def _learn_words(self, words: list[str], found: dict[str, bytes]) -> bool:
         """Encode words of letters in one go: each is one pre-token, and the last token of each ends a word."""
-        (e,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        (e,) = self.of_words.encode_batch_fast([" ".join(words).lower()], add_special_tokens=False)
         ids = np.array(e.ids, "<u4")
         ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
         if len(ends) != len(words):
             return False
-        raw, at, known = ids.tobytes(), 0, self.known
+        raw, at = ids.tobytes(), 0
         for w, to in zip(words, ends.tolist(), strict=True):
-            known[w] = raw[at:to]
+            found[w] = raw[at:to]
             at = to
         return True
 
@@ -150,6 +176,18 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+@contextlib.contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Without the search for cycles, which code that makes many plain lists and none of those pays for in vain."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class TournamentTree:
     """Free room of bins; finds the first bin with room for an item."""
 
@@ -245,7 +283,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col:
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
-                ids = [x + end for x in e.encode_all([t or "" for t in part.column(1).to_pylist()])]
+                with _no_cycles():
+                    ids = [x + end for x in e.encode_all([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
@@ -260,22 +299,24 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     ``sequence_id`` is group << 32 | number in the group.
     """
     spark = docs.sparkSession
-    groups = max(1, -(-docs.count() // group_docs))
+    n_docs, n_bytes = docs.agg(F.count("*"), F.sum(F.octet_length(docs["text"].cast("string")))).first()
+    groups = max(1, -(-n_docs // group_docs), -(-(n_bytes or 0) // GROUP_BYTES))
     rows = tokenize(docs, tokenizer_path, end_id)
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "ids"), F.lit(groups)))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "ids", F.spark_partition_id()), F.lit(groups)))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         order = t.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
         doc_ids, ids = order.column("doc_id").to_pylist(), order.column("ids").to_pylist()
         sizes = [len(x) // 4 for x in ids]
         base, out = key[0].as_py() << 32, []
-        for number, seq in enumerate(pack_lengths(sizes, capacity)):
-            offset = 0
-            for d, s, n in seq:
-                piece = ids[d][4 * s : 4 * (s + n)]
-                out.append((doc_ids[d], s, n, zlib.crc32(piece), sizes[d], base | number, offset, piece if with_ids else None))
-                offset += n
-        cols = list(zip(*out, strict=True)) if out else [[]] * 8
+        with _no_cycles():
+            for number, seq in enumerate(pack_lengths(sizes, capacity)):
+                offset = 0
+                for d, s, n in seq:
+                    piece = ids[d][4 * s : 4 * (s + n)]
+                    out.append((doc_ids[d], s, n, zlib.crc32(piece), sizes[d], base | number, offset, piece if with_ids else None))
+                    offset += n
+            cols = list(zip(*out, strict=True)) if out else [[]] * 8
         return pa.table({name: pa.array(c, pa.binary() if name == "ids" else pa.int64()) for name, c in zip([x.split()[0] for x in PIECES.split(", ")], cols, strict=True)})
 
     return rows.repartition(min(groups, 8 * shuffle_partitions(spark)), "grp").groupBy("grp").applyInArrow(run, PIECES)
