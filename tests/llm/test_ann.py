@@ -49,6 +49,36 @@ def test_copies_ties_and_odd_vectors(spark):
     assert run(spark, rows, p) == brute(rows, 20)
 
 
+def test_repeated_ids_and_the_frequent_dimension(spark):
+    """Each row of an id is a vector of its own; a single odd vector sends nothing away."""
+    rows = data(59)
+    rows += [(40, rows[7][1], 0), (33, rows[33][1], 0)] + [(i, [1.0, 2.0], 0) for i in range(5000, 5020)]
+    got = search(spark.createDataFrame(rows, SCHEMA).repartition(3), F.col("vec_id") % 20 == 0, IvfParams(k=5, probe_share=1.0)).collect()
+    good = [(i, np.array(v, np.float64)) for i, v, _ in rows if len(v) == 16]
+    want = []
+    for at, (i, v) in enumerate(good):
+        if i % 20 == 0:
+            near = sorted((-sum(a * b for a, b in zip(v, w)), j) for k, (j, w) in enumerate(good) if k != at)[:5]
+            want += [(i, n + 1, j) for n, (_, j) in enumerate(near)]
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(want)
+    assert sum(r.query_id == 40 for r in got) == 10
+
+
+def test_recall_of_the_registered_query(spark):
+    import pyarrow.parquet as pq
+
+    from varispark.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    t = pq.read_table(f"{sf}/embeddings.parquet").to_pydict()
+    want = brute(list(zip(t["vec_id"], t["embedding"], strict=True)), 20)
+    got = {}
+    for r in QUERIES["op7_ivf_pq"](spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = np.mean([len(got[q] & set(w)) / len(w) for q, w in want.items()])
+    assert got.keys() == want.keys() and recall >= 0.9, recall
+
+
 def test_few_and_none(spark):
     rows = data(6)
     assert run(spark, rows, IvfParams()) == brute(rows, 20)

@@ -12,10 +12,13 @@ queries in blocks too; each pair of blocks is one group: a list that holds a thi
 vectors, or is visited by a third of all queries, is spread like any other. What travels to executors or the
 driver has a bound: centroids, codebooks and the sizes of at most ``MAX_LISTS`` lists.
 
-Edge cases: vectors that are null, zero, of another dimension than the first of the
-sample, or hold null or non-finite components take no part; equal scores are ordered by
-smaller id; with fewer candidates than ``k`` all are returned; an empty table gives an
-empty result.
+Edge cases: vectors that are null, zero, of another dimension than the most frequent one
+(the smallest of equally frequent ones), or hold null or non-finite components take no
+part, nor do rows without an id; rows of one id are different vectors: each is a
+candidate for the other, and each is answered if it is a query, under the same
+``query_id``; equal scores are ordered by smaller id; with fewer candidates than ``k`` all
+are returned; an empty table gives an empty result; other columns are not read, whatever
+they are called.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +42,8 @@ BLOCK = 4096
 class IvfParams:
     k: int = 20
     sample_rows: int = 20_000
-    #: Share of the lists that a query visits, and how many at least.
+    #: Share of the lists that a query visits.
     probe_share: float = 0.75
-    probe_least: int = 24
     sub_vectors: int = 16
     codes: int = 256
     rerank: int = 128
@@ -118,27 +120,30 @@ def search(vectors: DataFrame, is_query: Column, params: IvfParams = IvfParams()
     p = params
     rows = vectors.select(vectors[id_col].cast("bigint").alias("vec_id"), vectors[vector_col].alias("x"), is_query.alias("q")).where(F.col("vec_id").isNotNull())
     rows = rows.where(usable(F.col("x")))
+    most = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    d, n_rows = (most["d"], most["count"]) if most else (0, 0)
+    rows = rows.where(F.size("x") == d)
     sample = rows.select("x", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(p.sample_rows).select("x").toArrow().column("x").combine_chunks()
     if isinstance(sample, pa.ChunkedArray):
         sample = pa.concat_arrays(sample.chunks)
-    result = "query_id bigint, vec_id bigint, score double"
+    result = "query_row bigint, query_id bigint, vec_id bigint, score double"
     if not len(sample):
         none = rows.where("false").select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
         return none
-    d = len(sample[0])
-    keep = np.asarray(pc.list_value_length(sample)) == d
-    rows = rows.where(F.size("x") == d)
     kind = rows.schema["x"].dataType.simpleString()
-    model = fit(_matrix(sample.filter(pa.array(keep)), d), rows.count(), p)
+    model = fit(_matrix(sample, d), n_rows, p)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
         for b in batches:
+            row = np.arange(first, first + b.num_rows)
+            first += b.num_rows
             x = _matrix(b.column("x"), d)
             at = model.assign(x)
             codes = model.encode(x, at)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("x"), b.column("q"), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "x", "q", "list", "code"])
+            yield pa.RecordBatch.from_arrays([pa.array(row), b.column("vec_id"), b.column("x"), b.column("q"), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["row", "vec_id", "x", "q", "list", "code"])
 
-    indexed = materialise(rows.mapInArrow(index, f"vec_id bigint, x {kind}, q boolean, list int, code binary"))
+    indexed = materialise(rows.mapInArrow(index, f"row bigint, vec_id bigint, x {kind}, q boolean, list int, code binary"))
     lists = len(model.centroids)
     sizes = np.zeros(lists, np.int64)
     for r in indexed.groupBy("list").count().collect():  # at most MAX_LISTS rows
@@ -147,7 +152,7 @@ def search(vectors: DataFrame, is_query: Column, params: IvfParams = IvfParams()
     group_of = np.cumsum(sizes) // BLOCK
     groups = int(group_of[-1]) + 1
     held = np.bincount(group_of, sizes, groups)
-    probes = min(lists, max(p.probe_least, round(p.probe_share * lists)))
+    probes = min(lists, int(np.ceil(p.probe_share * lists)))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,33 +170,33 @@ def search(vectors: DataFrame, is_query: Column, params: IvfParams = IvfParams()
                 q, g = np.nonzero(to)
                 rows = pa.array(q)
                 bits = np.packbits(visited, axis=1)
-                yield pa.RecordBatch.from_arrays([part.column("vec_id").take(rows), part.column("x").take(rows), pa.array([bits[i].tobytes() for i in q], pa.binary()), pa.array(g, pa.int32())], ["query_id", "y", "lists", "part"])
+                yield pa.RecordBatch.from_arrays([part.column("row").take(rows), part.column("vec_id").take(rows), part.column("x").take(rows), pa.array([bits[i].tobytes() for i in q], pa.binary()), pa.array(g, pa.int32())], ["query_row", "query_id", "y", "lists", "part"])
 
-    visits = materialise(indexed.where("q").select("vec_id", "x").mapInArrow(probe, f"query_id bigint, y {kind}, lists binary, part int"))
+    visits = materialise(indexed.where("q").select("row", "vec_id", "x").mapInArrow(probe, f"query_row bigint, query_id bigint, y {kind}, lists binary, part int"))
     visitors = np.zeros(groups, np.int64)
     for r in visits.groupBy("part").count().collect():  # at most MAX_LISTS rows
         visitors[r["part"]] = r["count"]
     tiles = [(g, int(-(-h // BLOCK)), int(-(-v // BLOCK))) for g, (h, v) in enumerate(zip(held, visitors, strict=True)) if h and v]
     by_part = F.broadcast(indexed.sparkSession.createDataFrame(tiles, "part int, blocks int, turns int"))
     of_list = F.broadcast(indexed.sparkSession.createDataFrame([(i, int(g)) for i, g in enumerate(group_of)], "list int, part int"))
-    left = indexed.select("vec_id", "x", "code", "list").join(of_list, "list").join(by_part, "part")
-    left = left.select("vec_id", "x", "code", "list", "part", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), F.explode(F.expr("sequence(0, turns - 1)")).alias("turn"))
+    left = indexed.select("row", "vec_id", "x", "code", "list").join(of_list, "list").join(by_part, "part")
+    left = left.select("row", "vec_id", "x", "code", "list", "part", F.pmod(F.xxhash64("row"), "blocks").cast("int").alias("block"), F.explode(F.expr("sequence(0, turns - 1)")).alias("turn"))
     right = visits.join(by_part, "part")
-    right = right.select("query_id", "y", "lists", "part", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.pmod(F.xxhash64("query_id"), "turns").cast("int").alias("turn"))
+    right = right.select("query_row", "query_id", "y", "lists", "part", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.pmod(F.xxhash64("query_row"), "turns").cast("int").alias("turn"))
 
     def rank(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            return _found([], [], [])
-        a = a.sort_by("vec_id")
-        ids, of = a.column("vec_id").to_numpy(), a.column("list").to_numpy()
+            return _found([], [], [], [])
+        a = a.sort_by([("vec_id", "ascending"), ("row", "ascending")])
+        own, ids, of = (a.column(c).to_numpy() for c in ("row", "vec_id", "list"))
         x = _matrix(a.column("x").combine_chunks(), d, np.float64)
         codes = np.frombuffer(b"".join(a.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        queries = b.column("query_id").to_numpy()
+        queries, query_rows = b.column("query_id").to_numpy(), b.column("query_row").to_numpy()
         y = _matrix(b.column("y").combine_chunks(), d, np.float64)
         visited = np.unpackbits(np.frombuffer(b"".join(b.column("lists").to_pylist()), np.uint8).reshape(len(queries), -1), axis=1, count=lists).astype(bool)
         out = []
         for at in range(0, len(queries), 256):
-            q, qid = y[at : at + 256], queries[at : at + 256]
+            q, qid, qrow = y[at : at + 256], queries[at : at + 256], query_rows[at : at + 256]
             tables = np.einsum("qmd,mcd->mqc", model.split(q.astype(np.float32)), model.books)
             guess = (q.astype(np.float32) @ model.centroids.T)[:, of]
             for m in range(codes.shape[1]):
@@ -201,17 +206,17 @@ def search(vectors: DataFrame, is_query: Column, params: IvfParams = IvfParams()
             score = np.zeros(best.shape)
             for i in range(d):  # in one order, so equal vectors have equal scores
                 score += q[:, i, None] * x[best, i]
-            score[(ids[best] == qid[:, None]) | np.isneginf(np.take_along_axis(guess, best, 1))] = -np.inf
+            score[(own[best] == qrow[:, None]) | np.isneginf(np.take_along_axis(guess, best, 1))] = -np.inf
             order = np.lexsort((ids[best], -score))[:, : p.k]
             row = np.arange(len(q))[:, None]
             s, v = score[row, order], ids[best][row, order]
             on = s > -np.inf
-            out.append((np.repeat(qid, on.sum(1)), v[on], s[on]))
+            out.append((np.repeat(qrow, on.sum(1)), np.repeat(qid, on.sum(1)), v[on], s[on]))
         return _found(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
     keys = ["part", "block", "turn"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, result)
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    nearest = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -226,5 +231,5 @@ def _largest(guess: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(key, n - k, 1)[:, n - k :]
 
 
-def _found(q, v, s) -> pa.Table:
-    return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
+def _found(r, q, v, s) -> pa.Table:
+    return pa.table({"query_row": pa.array(r, pa.int64()), "query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
