@@ -47,3 +47,35 @@ def test_odd_rows_and_empty_tables(spark):
             got = score(docs.withColumn("label", F.lit(7)), train(docs, given)).collect()
             assert len(got) == 4 and all(0 <= r.score <= 1 and r.predicted in (0, 1) and r.label == 7 for r in got)
         assert score(docs.limit(0), train(docs.limit(0), labels)).collect() == []
+
+
+def test_own_columns_stay_and_the_largest_label_counts(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, "x"), (2, "c d", 6, "y")], "doc_id int, text string, Score int, predicted string")
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    settled = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    for train, score in ((toxicity.train_toxicity, toxicity.score_toxicity), (quality.train_quality, quality.score_quality)):
+        got = score(docs, train(docs, labels)).orderBy("doc_id").collect()
+        assert [(r.doc_id, r.Score_input, r.predicted_input) for r in got] == [(1, 5, "x"), (2, 6, "y")]
+        assert [r.score for r in got] == [r.score for r in score(docs, train(docs, settled)).orderBy("doc_id").collect()]
+
+
+def test_scores_follow_from_the_weights(spark):
+    """Score is the logistic of the intercept and the weights of the distinct features, row by row."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from varispark.llm.ftrl import slots
+
+    data = rows(300)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _, _ in data], SCHEMA).repartition(4)
+    labels = spark.createDataFrame([(i, q, x) for i, _, q, x in data], "doc_id bigint, quality int, toxic int")
+    for module, train, score in ((toxicity, toxicity.train_toxicity, toxicity.score_toxicity), (quality, quality.train_quality, quality.score_quality)):
+        model = train(docs, labels)
+        weight = dict(zip(model.index.tolist(), model.weight.tolist(), strict=True))
+        got = {r.doc_id: r.score for r in score(docs, model).collect()}
+        for i, t, _, _ in data:
+            (at,) = slots(pa.array([t.encode()]), module.features, model.bits)
+            total = model.intercept + sum(weight.get(x, 0.0) for x in np.unique(at).tolist())
+            assert abs(got[i] - 1 / (1 + math.exp(-total))) < 1e-6

@@ -2,13 +2,14 @@
 
 The learner keeps, for every hashed feature, a gradient sum and a squared-gradient sum:
 each coordinate has its own falling rate, and the L1 term holds weights at exactly zero
-until the evidence exceeds it. Training streams a bounded sample of labelled rows
-through one task; what remains, some thousand (index, weight) pairs of a fixed-size
-table, is sent to the executors, where scoring is a sparse dot product in numpy.
+until the evidence exceeds it. Labelled texts of a bounded sample are hashed where they
+lie; their feature indexes stream through one task, once an epoch. What remains, some
+thousand (index, weight) pairs of a fixed-size table, is sent to the executors, where
+scoring is a sparse dot product in numpy.
 
 Bounds: ``max_rows`` labelled rows are used at most (those with the smallest hash of
-their id, so the choice does not depend on the partitioning), and the weights number
-at most ``2 ** bits``.
+their id, so the choice does not depend on the partitioning), and the weights and the
+indexes of a row number at most ``2 ** bits``.
 """
 
 from __future__ import annotations
@@ -177,46 +178,66 @@ def _slot(h: np.ndarray, bits: int) -> np.ndarray:
     return np.maximum(1, (h >> np.uint64(64 - bits)).astype(np.int64))
 
 
-def _learn_stream(rows: Iterator[tuple[pa.Array, np.ndarray]], features: Features, p: FtrlParams) -> Ftrl:
-    learner = Ftrl(p)
-    for texts, labels in rows:
-        at = 0
-        for c in text_chunks(texts):
-            doc, h = features(c)
-            pair = np.unique(doc.astype(np.uint64) << np.uint64(p.bits) | _slot(h, p.bits).astype(np.uint64))
-            owner = (pair >> np.uint64(p.bits)).astype(np.int64)
-            slot = (pair & np.uint64((1 << p.bits) - 1)).astype(np.int64)
-            cut = np.searchsorted(owner, np.arange(len(c) + 1))
-            for d in range(len(c)):
-                learner.learn(np.append(0, slot[cut[d] : cut[d + 1]]), int(labels[at + d]))
-            at += len(c)
-    return learner
+def slots(texts: pa.Array, features: Features, bits: int) -> Iterator[np.ndarray]:
+    """The distinct feature indexes of each text."""
+    for c in text_chunks(texts):
+        doc, h = features(c)
+        pair = np.unique(doc.astype(np.uint64) << np.uint64(bits) | _slot(h, bits).astype(np.uint64))
+        owner = (pair >> np.uint64(bits)).astype(np.int64)
+        slot = (pair & np.uint64((1 << bits) - 1)).astype(np.int32)
+        cut = np.searchsorted(owner, np.arange(len(c) + 1))
+        for d in range(len(c)):
+            yield slot[cut[d] : cut[d + 1]]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, params: FtrlParams, id_col: str = "doc_id", text_col: str = "text") -> FtrlModel:
-    """Fit on labelled documents. Rows without a label, an id or a document are left out."""
+    """Fit on labelled documents. Rows without a label, an id or a document are left out; of several labels of an id the largest counts."""
     ship_package(docs.sparkSession)
     one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     # at most max_rows pairs of numbers: their size is bounded, so they may be broadcast
     chosen = one.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(params.max_rows)
     text = F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text")
-    rows = docs.select(docs[id_col].alias("doc_id"), text).join(F.broadcast(chosen), "doc_id")
-    rows = rows.select("text", "label", "turn", F.explode(F.sequence(F.lit(1), F.lit(params.epochs))).alias("epoch"))
+    rows = docs.select(docs[id_col].alias("doc_id"), text).join(F.broadcast(chosen), "doc_id").select("text", "label", "turn")
+
+    def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = list(slots(b.column("text"), features, params.bits))
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("turn"), pa.array([x.tobytes() for x in got], pa.binary())], ["label", "turn", "slots"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = _learn_stream(((b.column("text"), b.column("label").to_numpy()) for b in batches), features, params)
+        learner = Ftrl(params)
+        for b in batches:
+            for x, y in zip(b.column("slots"), b.column("label").to_pylist(), strict=True):
+                learner.learn(np.append(0, np.frombuffer(x.as_buffer(), np.int32)), y)
         w = learner.weights(np.arange(1 << params.bits))
         on = np.flatnonzero(w)
         on = on[on > 0]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(0, on), pa.int32()), pa.array(np.append(w[0], w[on]), pa.float64())], ["i", "w"])
 
-    got = rows.repartition(1).sortWithinPartitions("epoch", "turn").select("text", "label").mapInArrow(run, "i int, w double").toArrow()
+    hashed = rows.mapInArrow(hash_texts, "label int, turn bigint, slots binary").repartition(1)
+    # the pass of each epoch sorts the same rows, with spill, so no epoch is held in memory
+    epochs = hashed.select("label", "turn", "slots", F.explode(F.sequence(F.lit(1), F.lit(params.epochs))).alias("epoch"))
+    got = epochs.sortWithinPartitions("epoch", "turn", "slots").select("label", "slots").mapInArrow(run, "i int, w double").toArrow()
     index, weight = got.column("i").to_numpy(), got.column("w").to_numpy()
     if not len(index):
         index, weight = np.zeros(1, np.int32), np.zeros(1)
     return FtrlModel(features, params.bits, index[1:].astype(np.int64), weight[1:].astype(np.float32), float(weight[0]))
 
 
+def with_scores(docs: DataFrame, model: FtrlModel, threshold: float, text_col: str = "text") -> DataFrame:
+    """``docs`` with score (probability of label 1) and predicted; own columns of these names are kept as ``<name>_input``."""
+    score = model.score(docs[text_col])
+    taken = {c.lower() for c in docs.columns}
+    own = []
+    for c in docs.columns:
+        name = c
+        while name.lower() in ("score", "predicted") or (name != c and name.lower() in taken):
+            name += "_input"
+        own.append(docs[f"`{c}`"].alias(name))
+    out = docs.select(*own, score.alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
 def held_out(id_column: Column, modulus: int = 5, remainder: int = 0) -> Column:
     """Whether crc32 of the id as text has the given remainder; false without an id."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

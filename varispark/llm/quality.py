@@ -6,17 +6,19 @@ abstract tokens: the share of repeated words, of symbols, and of capitals in cla
 Scores are sparse dot products.
 
 Edge cases: null and empty texts get the probability of a document without any word;
-long texts are scored whole.
+long texts are scored whole; repeated rows
+are scored alike, and each counts in training; of several labels of an id the largest counts; an
+empty table of documents or labels gives an empty result or the probability one half; columns
+of ``docs`` named score or predicted are kept as score_input and predicted_input.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from varispark.llm.chunks import Chunk, mix
-from varispark.llm.ftrl import FtrlModel, FtrlParams, ngrams, tokens, train
+from varispark.llm.ftrl import FtrlModel, FtrlParams, ngrams, tokens, train, with_scores
 
 PARAMS = FtrlParams(bits=20, alpha=0.5, beta=1.0, l1=2.0, l2=0.0, epochs=2, max_rows=10_000)
 THRESHOLD = 0.3
@@ -65,4 +67,4 @@ def train_quality(docs: DataFrame, labels: DataFrame, params: FtrlParams = PARAM
 
 def score_quality(docs: DataFrame, model: FtrlModel, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score (probability of label 1) and predicted."""
-    return docs.withColumn("score", model.score(docs["text"])).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return with_scores(docs, model, threshold)
