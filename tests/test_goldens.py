@@ -300,3 +300,70 @@ def test_expressions(spark):
     assert variables("sqrt(DP) + QD") == ["DP", "QD"]
     with pytest.raises(ValueError):
         to_column("__import__('os')")
+
+
+def test_scans_over_many_blocks(spark, monkeypatch):
+    """Blocks of 7 variants and chunks of 5 pairs give what one block gives, and what the definition gives."""
+    from varispark.operators import suffixes as X
+
+    r = np.random.default_rng(3)
+    n, width = 60, 9
+    freq = r.uniform(0.02, 0.4, n)
+    a = np.where(r.random((n, width)) < 0.05, -1, (r.random((n, width)) < freq[:, None]).astype(int))
+    pos = np.cumsum(r.integers(1, 60, n))
+    pos[40:] += 500
+    df = spark.createDataFrame([(v, int(pos[v]), a[v].tolist()) for v in range(n)], "vidx long, pos long, h array<int>")
+    kw = {"min_ehh": 0.1, "gap_scale": 30, "max_gap": 400}
+
+    def ihh(v, cls, reverse, edges):
+        order = np.arange(v, n) if reverse else np.arange(v, -1, -1)
+        pairs = [(i, j) for i in range(width) for j in range(i + 1, width) if cls is None or a[v, i] == a[v, j] == cls]
+        if not pairs:
+            return None
+        apart = lambda u, i, j: a[u, i] >= 0 and a[u, j] >= 0 and a[u, i] != a[u, j]
+        ssl = [next((k for k, u in enumerate(order) if apart(u, i, j)), len(order)) for i, j in pairs]
+        ehh = lambda k: sum(x > k for x in ssl) / len(ssl)
+        total, before = 0.0, ehh(0)
+        if before <= kw["min_ehh"]:
+            return 0.0
+        for k in range(1, len(order)):
+            d = abs(int(pos[order[k]]) - int(pos[order[k - 1]]))
+            if d > kw["max_gap"]:
+                return None
+            now = ehh(k)
+            total += min(d, kw["gap_scale"]) * (now + before) / 2
+            if now <= kw["min_ehh"]:
+                return total
+            before = now
+        return total if edges else None
+
+    for block in (7, 4096):
+        monkeypatch.setattr(X, "BLOCK", block)
+        monkeypatch.setattr(X, "CHUNK", 5 if block == 7 else 256)
+        for edges in (False, True):
+            gaps = X.ihh_gaps(df, gap_scale=kw["gap_scale"], max_gap=kw["max_gap"])
+            for by_class in (True, False):
+                got = {x.vidx: x for x in X.pair_stats(df, "h", by_class, gaps, kw["min_ehh"], edges).collect()}
+                assert len(got) == n
+                for v in range(n):
+                    for d in (0, 1):
+                        for c in (0, 1) if by_class else (None,):
+                            want, have = ihh(v, c, d, edges), got[v]["fr"[d] + f"ihh{c or 0}"]
+                            assert (want is None) == (have is None) and (want is None or abs(want - have) < 1e-9), (block, edges, v, d, c, want, have)
+
+
+def test_gaps_by_accessible_bases(spark):
+    df = spark.createDataFrame([(0, 1), (1, 11), (2, 31)], "vidx long, pos long")
+    mask = spark.createDataFrame([(1, 5), (21, 40)], "start long, stop long")
+    got = {x.vidx: x.gap for x in H.ihh_gaps(df, accessible=mask).collect()}
+    assert got == {0: 5.0, 1: 10.0, 2: None}
+
+
+def test_standardisation_fits_between_the_edges(spark):
+    rows = [(0, 1.0), (1, 2.0), (2, 4.0), (3, 1.0), (4, 5.0), (5, 9.0), (6, 100.0)]
+    df = spark.createDataFrame([(a, s) for a, s in rows], "aac long, score double")
+    got = {x.aac: x.z for x in H.standardize_by_allele_count(df, "score", "aac", bins=[1, 3, 5]).collect()}
+    low, high = [2.0, 4.0], [1.0, 5.0, 9.0]
+    for a, s in rows:
+        of = low if a < 3 else high
+        assert abs(got[a] - (s - np.mean(of)) / np.std(of)) < 1e-9

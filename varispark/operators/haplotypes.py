@@ -1,9 +1,8 @@
 """Haplotype statistics: identity groups, EHH, and selection scans by shared suffix lengths.
 
-Scans work on pairs of haplotypes. For each pair, the shared suffix length at a variant
-is its distance to the last variant where both are called and differ: a running
-maximum, by pair, along vidx. Pairs are spread over tasks; a task holds one pair's
-variants at a time.
+Scans work on pairs of haplotypes: the shared suffix length of a pair at a variant is its
+distance to the last variant where both are called and differ. ``suffixes`` has them by
+blocks of variants.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varispark.operators import windows as W
+from varispark.operators.suffixes import first_differences, ihh_gaps, pair_stats, suffix_rows
 
 
 def sequences(df: DataFrame, h: str = "h", by: tuple[str, ...] = ()) -> DataFrame:
@@ -76,124 +75,63 @@ def moving_hfs_rank(df: DataFrame, size: int, h: str = "h", start: int = 0, stop
     return g.select("w", F.explode(F.sequence(F.col("to") - F.col("n"), F.col("to") - 1)).alias("slot"), F.when(F.col("n") > 1, F.col("r")).otherwise(0).alias("rank"))
 
 
+#: Rows that one row is exploded to at once.
+_RUN = 100_000
+
+
 def ehh_decay(df: DataFrame, h: str = "h", truncate: bool = False) -> DataFrame:
     """(d, ehh): share of pairs identical over the first d variants, d from 0."""
-    n = df.count()
-    pairs = F.flatten(F.transform(F.col(h), lambda x, i: F.transform(F.slice(F.col(h), i + 2, F.size(h)), lambda y, k: F.struct(i.alias("i"), (i + k + 1).alias("j"), (x != y).alias("b")))))
-    first = df.select("vidx", F.explode(pairs).alias("p")).groupBy("p.i", "p.j").agg(F.min(F.when(F.col("p.b"), F.col("vidx"))).alias("at")).withColumn("at", F.coalesce("at", F.lit(n)))
-    hist = first.groupBy("at").agg(F.count("*").alias("c"))
-    grid = df.sparkSession.range(n).withColumnRenamed("id", "at").join(hist, "at", "full").withColumn("c", F.coalesce("c", F.lit(0)))
-    w = Window.orderBy(F.desc("at"))
-    out = grid.withColumn("more", F.sum("c").over(w)).withColumn("all", F.sum("c").over(Window.partitionBy()))
-    out = out.select(F.col("at").alias("d"), ((F.col("more") - F.col("c")) / F.col("all")).alias("ehh")).where(F.col("d") < n)
+    n, width = df.agg(F.count("*"), F.max(F.size(h))).first()
+    pairs = (width or 0) * ((width or 0) - 1) // 2
+    # at most one row a pair: where shares change
+    steps = first_differences(df, h).groupBy("at").agg(F.count("*").alias("c"))
+    steps = steps.unionByName(df.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("c")))
+    w = Window.orderBy("at")
+    runs = steps.select("at", F.sum("c").over(w).alias("gone"), F.coalesce(F.lead("at").over(w), F.lit(n)).alias("to"))
+    low, high = F.greatest(F.col("at"), F.lit(0)), F.col("to") - 1
+    runs = runs.where(low <= high).select((F.lit(pairs) - F.col("gone")).alias("left"), low.alias("low"), high.alias("high"))
+    runs = runs.withColumn("k", F.explode(F.sequence(F.floor(F.col("low") / _RUN), F.floor(F.col("high") / _RUN))))
+    out = runs.select(F.explode(F.sequence(F.greatest("low", F.col("k") * _RUN), F.least("high", F.col("k") * _RUN + (_RUN - 1)))).alias("d"), F.try_divide(F.col("left"), F.lit(pairs)).alias("ehh"))
     return out.where("ehh > 0") if truncate else out
 
 
-def pair_rows(df: DataFrame, h: str = "h") -> DataFrame:
-    """(vidx, i, j, cls, brk) for every pair of haplotypes: allele class 0 or 1 if both have it, and whether they differ."""
-    pairs = F.flatten(F.transform(F.col(h), lambda x, i: F.transform(F.slice(F.col(h), i + 2, F.size(h)), lambda y, k: F.struct(i.alias("i"), (i + k + 1).alias("j"), F.when((x == y) & x.isin(0, 1), x.cast("int")).alias("cls"), ((x >= 0) & (y >= 0) & ((x != y) | ~x.isin(0, 1))).alias("brk"), ((x >= 0) & (y >= 0) & (x != y)).alias("differ")))))
-    return df.select("vidx", F.explode(pairs).alias("p")).select("vidx", "p.*")
-
-
 def shared_suffix_lengths(df: DataFrame, h: str = "h", reverse: bool = False, by_class: bool = True) -> DataFrame:
     """(vidx, i, j, cls, ssl), scanning forwards or backwards; missing alleles count as matches."""
-    step = -F.col("vidx") if reverse else F.col("vidx")
-    rows = pair_rows(df, h).withColumn("s", step).withColumn("first", F.min("s").over(Window.partitionBy("i", "j")))
-    w = Window.partitionBy("i", "j").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    brk = "brk" if by_class else "differ"
-    last = F.max(F.when(F.col(brk), F.col("s"))).over(w)
-    return rows.select("vidx", "i", "j", "cls", (F.col("s") - F.coalesce(last, F.col("first") - 1)).alias("ssl"))
+    return suffix_rows(df, h, reverse, by_class)
 
 
 def nsl(df: DataFrame, h: str = "h") -> DataFrame:
     """(vidx, nsl): log of the ratio of mean shared suffix lengths, allele 1 over allele 0, both directions added."""
-    parts = None
-    for reverse in (False, True):
-        s = shared_suffix_lengths(df, h, reverse).where("cls is not null")
-        m = s.groupBy("vidx").agg(F.avg(F.when(F.col("cls") == 0, F.col("ssl"))).alias(f"a{int(reverse)}"), F.avg(F.when(F.col("cls") == 1, F.col("ssl"))).alias(f"b{int(reverse)}"))
-        parts = m if parts is None else parts.join(m, "vidx")
-    out = parts.select("vidx", F.try_divide(F.col("b0") + F.col("b1"), F.col("a0") + F.col("a1")).alias("r"))
-    return df.select("vidx").join(out.select("vidx", F.when(F.col("r") > 0, F.ln("r")).alias("nsl")), "vidx", "left")
+    s = pair_stats(df, h, by_class=True)
+    mean = lambda c: F.try_divide(F.col(f"fssl{c}"), F.col(f"fn{c}")) + F.try_divide(F.col(f"rssl{c}"), F.col(f"rn{c}"))
+    r = F.try_divide(mean(1), mean(0))
+    return s.select("vidx", F.when(r > 0, F.ln(r)).alias("nsl"))
 
 
 def xpnsl(df: DataFrame, h1: str, h2: str) -> DataFrame:
     """(vidx, xpnsl): log of the ratio of mean shared suffix lengths of two populations."""
-    out = None
-    for name, h in (("a", h1), ("b", h2)):
-        both = None
-        for reverse in (False, True):
-            m = shared_suffix_lengths(df, h, reverse, by_class=False).groupBy("vidx").agg(F.avg("ssl").alias("m"))
-            both = m if both is None else both.withColumnRenamed("m", "x").join(m, "vidx").select("vidx", (F.col("x") + F.col("m")).alias(name))
-        out = both if out is None else out.join(both, "vidx")
-    return out.select("vidx", F.ln(F.try_divide("a", "b")).alias("xpnsl"))
-
-
-def ihh_gaps(df: DataFrame, pos: str = "pos", map_pos: str | None = None, gap_scale: int | None = 20_000, max_gap: int | None = 200_000) -> DataFrame:
-    """(vidx, gap) from each variant to the next; wide gaps are scaled, those beyond max_gap are -1."""
-    w = Window.orderBy("vidx")
-    physical = F.lead(pos).over(w) - F.col(pos)
-    gap = (F.lead(map_pos or pos).over(w) - F.col(map_pos or pos)).cast("double")
-    if gap_scale:
-        gap = gap * F.when(physical > gap_scale, gap_scale / physical).otherwise(1.0)
-    if max_gap:
-        gap = F.when(physical > max_gap, -1.0).otherwise(gap)
-    return df.select("vidx", gap.alias("gap"))
-
-
-def integrate(lengths: DataFrame, gaps: DataFrame, n: int, min_ehh: float, include_edges: bool, reverse: bool, by: tuple[str, ...] = ()) -> DataFrame:
-    """IHH of each variant [and class] from its pairs' shared suffix lengths.
-
-    EHH after l steps is the share of pairs longer than l. Trapezoids over the gaps are
-    summed up to the first EHH at or below min_ehh; a gap of -1 on the way, or the edge,
-    leaves the value undefined.
-    """
-    key = ("vidx", *by)
-    hist = lengths.groupBy(*key, "ssl").agg(F.count("*").alias("c"))
-    pairs = hist.groupBy(*key).agg(F.sum("c").alias("n_pairs"), F.map_from_entries(F.collect_list(F.struct("ssl", "c"))).alias("m"), F.max("ssl").alias("top"))
-    steps = (F.lit(n - 1) - F.col("vidx")) if reverse else F.col("vidx")
-    # EHH is 0 from the longest shared suffix on, so no later step is used
-    grid = pairs.withColumn("l", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(steps, F.col("top")).cast("bigint"))))
-    grid = grid.withColumn("c", F.coalesce(F.try_element_at("m", F.col("l").cast("bigint")), F.lit(0)))
-    w = Window.partitionBy(*key).orderBy("l")
-    grid = grid.withColumn("ehh", (F.col("n_pairs") - F.sum("c").over(w)) / F.col("n_pairs")).withColumn("prev", F.lag("ehh").over(w))
-    at = (F.col("vidx") + F.col("l") - 1) if reverse else (F.col("vidx") - F.col("l"))
-    grid = grid.withColumn("at", at).join(F.broadcast(gaps.select(F.col("vidx").alias("at"), "gap")) if n <= 100_000 else gaps.select(F.col("vidx").alias("at"), "gap"), "at", "left")
-    first = F.min(F.when(F.col("ehh") <= min_ehh, F.col("l"))).over(Window.partitionBy(*key))
-    grid = grid.withColumn("end", first)
-    used = (F.col("l") > 0) & (F.col("end").isNull() | (F.col("l") <= F.col("end")))
-    out = grid.groupBy(*key).agg(F.sum(F.when(used, F.col("gap") * (F.col("ehh") + F.col("prev")) / 2).otherwise(0.0)).alias("ihh"), F.max("end").alias("end"), F.count_if(used & (F.col("gap") < 0)).alias("holes"))
-    fine = (F.col("holes") == 0) & (F.col("end").isNotNull() | F.lit(include_edges))
-    return out.select(*key, F.when(F.col("end") == 0, 0.0).when(fine, F.col("ihh")).alias("ihh"))
-
-
-def ihs(df: DataFrame, h: str = "h", pos: str = "pos", map_pos: str | None = None, min_ehh: float = 0.05, min_maf: float = 0.05, include_edges: bool = False, gap_scale: int | None = 20_000, max_gap: int | None = 200_000) -> DataFrame:
+    a, b = (pair_stats(df, h, by_class=False).select("vidx", F.try_divide(F.col("fssl0") + F.col("rssl0"), F.col("fn0")).alias(c)) for c, h in (("a", h1), ("b", h2)))
+    r = F.try_divide("a", "b")
+    return a.join(b, "vidx").select("vidx", F.when(r > 0, F.ln(r)).alias("xpnsl"))
+
+
+def ihs(df: DataFrame, h: str = "h", pos: str = "pos", map_pos: str | None = None, min_ehh: float = 0.05, min_maf: float = 0.05, include_edges: bool = False, gap_scale: int | None = 20_000, max_gap: int | None = 200_000, accessible: DataFrame | None = None) -> DataFrame:
     """(vidx, ihs): unstandardised log of integrated haplotype homozygosity, allele 1 over allele 0."""
-    n = df.count()
-    gaps = ihh_gaps(df, pos, map_pos, gap_scale, max_gap)
-    both = None
-    for reverse in (False, True):
-        s = shared_suffix_lengths(df, h, reverse).where("cls is not null")
-        i = integrate(s, gaps, n, min_ehh, include_edges, reverse, ("cls",))
-        p = i.groupBy("vidx").agg(F.max(F.when(F.col("cls") == 0, F.col("ihh"))).alias(f"a{int(reverse)}"), F.max(F.when(F.col("cls") == 1, F.col("ihh"))).alias(f"b{int(reverse)}"))
-        both = p if both is None else both.join(p, "vidx")
+    gaps = ihh_gaps(df, pos, map_pos, gap_scale, max_gap, accessible)
+    both = pair_stats(df, h, True, gaps, min_ehh, include_edges)
     c0, c1 = F.size(F.filter(h, lambda a: a == 0)), F.size(F.filter(h, lambda a: a == 1))
     maf = F.try_divide(F.least(c0, c1).cast("double"), (c0 + c1).cast("double"))
+    r = F.try_divide(F.col("fihh1") + F.col("rihh1"), F.col("fihh0") + F.col("rihh0"))
     out = df.select("vidx", maf.alias("maf")).join(both, "vidx", "left")
-    r = F.try_divide(F.col("b0") + F.col("b1"), F.col("a0") + F.col("a1"))
     return out.select("vidx", F.when((F.col("maf") >= min_maf) & (r > 0), F.ln(r)).alias("ihs"))
 
 
-def xpehh(df: DataFrame, h1: str, h2: str, pos: str = "pos", map_pos: str | None = None, min_ehh: float = 0.05, include_edges: bool = False, gap_scale: int | None = 20_000, max_gap: int | None = 200_000) -> DataFrame:
+def xpehh(df: DataFrame, h1: str, h2: str, pos: str = "pos", map_pos: str | None = None, min_ehh: float = 0.05, include_edges: bool = False, gap_scale: int | None = 20_000, max_gap: int | None = 200_000, accessible: DataFrame | None = None) -> DataFrame:
     """(vidx, xpehh): log of the ratio of two populations' integrated haplotype homozygosity."""
-    n = df.count()
-    gaps = ihh_gaps(df, pos, map_pos, gap_scale, max_gap)
-    out = df.select("vidx")
-    for name, h in (("a", h1), ("b", h2)):
-        for reverse in (False, True):
-            s = shared_suffix_lengths(df, h, reverse, by_class=False)
-            out = out.join(integrate(s, gaps, n, min_ehh, include_edges, reverse).withColumnRenamed("ihh", f"{name}{int(reverse)}"), "vidx", "left")
-    r = F.try_divide(F.col("a0") + F.col("a1"), F.col("b0") + F.col("b1"))
-    return out.select("vidx", F.when(r > 0, F.ln(r)).alias("xpehh"))
+    gaps = ihh_gaps(df, pos, map_pos, gap_scale, max_gap, accessible)
+    a, b = (pair_stats(df, h, False, gaps, min_ehh, include_edges).select("vidx", (F.col("fihh0") + F.col("rihh0")).alias(c)) for c, h in (("a", h1), ("b", h2)))
+    r = F.try_divide("a", "b")
+    return a.join(b, "vidx").select("vidx", F.when(r > 0, F.ln(r)).alias("xpehh"))
 
 
 def standardize(df: DataFrame, score: str, out: str = "z") -> DataFrame:
@@ -218,18 +156,20 @@ def make_similar_sized_bins(df: DataFrame, value: str, n: int) -> list[float]:
 
 
 def standardize_by_allele_count(df: DataFrame, score: str, aac: str, bins: list[float] | None = None, n_bins: int | None = None, out: str = "z") -> DataFrame:
-    """Scores standardised within bins of allele counts; the outer bins are open."""
+    """Scores standardised within bins of allele counts.
+
+    Mean and deviation of a bin are those of the scores between its edges (the last bin
+    has both); scores beyond the outer edges are put into the outer bins. Without bins,
+    half the largest count tells how many are made.
+    """
     if bins is None:
-        n = n_bins or max(1, df.select(aac).distinct().count() // 2)
+        n = n_bins or max(1, (df.agg(F.max(aac)).first()[0] or 0) // 2)
         bins = make_similar_sized_bins(df.where(F.col(score).isNotNull()), aac, n)
-    inner = bins[1:-1]
     b: Column = F.lit(0)
-    for e in inner:
+    for e in bins[1:-1]:
         b = b + F.when(F.col(aac) >= e, 1).otherwise(0)
-    w = Window.partitionBy("_b")
     rows = df.withColumn("_b", b)
-    return rows.withColumn(out, F.try_divide(F.col(score) - F.avg(score).over(w), F.stddev_pop(score).over(w))).drop("_b")
-
-
-def moving_statistics(df: DataFrame, aggregates: dict[str, Column], size: int, **kw) -> DataFrame:
-    return W.moving(df, aggregates, size, **kw)
+    # one row a bin
+    stats = rows.where(F.col(aac).between(bins[0], bins[-1])).groupBy("_b").agg(F.avg(score).alias("_m"), F.stddev_pop(score).alias("_s"))
+    rows = rows.join(F.broadcast(stats), "_b", "left")
+    return rows.withColumn(out, F.try_divide(F.col(score) - F.col("_m"), F.col("_s"))).drop("_b", "_m", "_s")

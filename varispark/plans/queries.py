@@ -745,24 +745,37 @@ def _state_transitions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["state_transitions"] = _state_transitions
 SQL["state_transitions"] = f"with {_EV} select part, lstate, rstate, lidx, ridx from (select part, lag(st) over (partition by part order by idx) lstate, st rstate, coalesce(prev, -1) lidx, idx ridx from lg) where lstate is null or lstate <> rstate union all select part, st, null, idx, -1 from lg where nxt is null"
 
-# ---------------------------------------------------------------- without SQL
+#: Integrated homozygosity over gaps of 10 bases: ``of`` has vidx, class c, direction d and suffix length of each pair.
+_IHH = (
+    "hs as (select vidx, c, d, ssl l, count(*) k from of_pairs group by all), "
+    "tot as (select vidx, c, d, sum(k) n, max(l) top, case when d = 0 then vidx else (select max(vidx) from g) - vidx end steps from hs group by all), "
+    "gr as (select vidx, c, d, n, unnest(range(0, least(steps, top)::bigint + 1)) l from tot), "
+    "eh as (select vidx, c, d, l, (n - sum(coalesce(k, 0)) over (partition by vidx, c, d order by l)) / n::double ehh from gr left join hs using (vidx, c, d, l)), "
+    "ed as (select *, lag(ehh) over (partition by vidx, c, d order by l) prev, min(case when ehh <= 0.05 then l end) over (partition by vidx, c, d) e from eh), "
+    "ih as (select vidx, c, d, coalesce(sum(10 * (ehh + prev) / 2) filter (where l > 0 and (e is null or l <= e)), 0) ihh from ed group by all), "
+    "rt as (select vidx, sum(ihh) filter (where c = 0) s0, count(*) filter (where c = 0) n0, sum(ihh) filter (where c = 1) s1, count(*) filter (where c = 1) n1 from ih group by vidx)"
+)
+_POP_PAIRS = _NSL.replace("p.hidx < q.hidx)", "p.hidx < q.hidx and (p.hidx < 20) = (q.hidx < 20))")
 
 
-@on_grid("ihs", "")
+@on_grid("ihs", "select v.vidx, round(case when n0 = 2 and n1 = 2 and s0 > 0 and s1 > 0 then ln(s1 / s0) end, 9) ihs from (select distinct vidx from g) v left join rt using (vidx)", f"{_NSL}, of_pairs as (select vidx, u c, 0 d, f ssl from ss where u = w and u >= 0 union all select vidx, u, 1, b from ss where u = w and u >= 0), {_IHH}")
 def _(df):
     return H.ihs(df, include_edges=True, min_maf=0.0).withColumn("ihs", r("ihs"))
 
 
-@on_grid("xpehh", "")
+@on_grid("xpehh", "select vidx, round(case when s0 > 0 and s1 > 0 then ln(s0 / s1) end, 9) xpehh from rt", f"{_POP_PAIRS}, of_pairs as (select vidx, (hi >= 20)::int c, 0 d, f ssl from ss union all select vidx, (hi >= 20)::int, 1, b from ss), {_IHH}")
 def _(df):
     return H.xpehh(df.select("vidx", "pos", F.slice("h", 1, 20).alias("h1"), F.slice("h", 21, 20).alias("h2")), "h1", "h2", include_edges=True).withColumn("xpehh", r("xpehh"))
 
 
-@on_grid("xpnsl", "")
+@on_grid("xpnsl", "select vidx, round(case when m0 > 0 and m1 > 0 then ln(m0 / m1) end, 9) xpnsl from (select vidx, avg(f + b) filter (where hi < 20) m0, avg(f + b) filter (where hi >= 20) m1 from ss group by vidx)", _POP_PAIRS)
 def _(df):
     return H.xpnsl(df.select("vidx", F.slice("h", 1, 20).alias("h1"), F.slice("h", 21, 20).alias("h2")), "h1", "h2").withColumn("xpnsl", r("xpnsl"))
 
 
+# ---------------------------------------------------------------- without SQL
+
+
 @on_grid("locate_unlinked", "")
 def _(df):
     return P.locate_unlinked(_gn(df), 50, 10, 0.2)
