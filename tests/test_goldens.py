@@ -367,3 +367,27 @@ def test_standardisation_fits_between_the_edges(spark):
     for a, s in rows:
         of = low if a < 3 else high
         assert abs(got[a] - (s - np.mean(of)) / np.std(of)) < 1e-9
+
+
+def test_distances_of_every_metric(spark):
+    r = np.random.default_rng(4)
+    x = r.integers(0, 3, (40, 6)).astype(float)
+    df = spark.createDataFrame([(v, x[v].tolist()) for v in range(40)], "vidx long, gn array<double>").repartition(4)
+    centred = lambda a: a - a.mean()
+    cos = lambda a, b: 1 - a @ b / np.sqrt((a @ a) * (b @ b))
+    want = {
+        "euclidean": lambda a, b: np.sqrt(((a - b) ** 2).sum()),
+        "sqeuclidean": lambda a, b: ((a - b) ** 2).sum(),
+        "cityblock": lambda a, b: np.abs(a - b).sum(),
+        "chebyshev": lambda a, b: np.abs(a - b).max(),
+        "hamming": lambda a, b: (a != b).mean(),
+        "canberra": lambda a, b: sum(abs(p - q) / (abs(p) + abs(q)) for p, q in zip(a, b, strict=True) if p or q),
+        "braycurtis": lambda a, b: np.abs(a - b).sum() / np.abs(a + b).sum(),
+        "cosine": cos,
+        "correlation": lambda a, b: cos(centred(a), centred(b)),
+    }
+    for name, f in want.items():
+        got = {(d.i, d.j): d.distance for d in P.pairwise_distance(df, metric=name).collect()}
+        assert len(got) == 15 and all(abs(got[i, j] - f(x[:, i], x[:, j])) < 1e-9 for i, j in got), name
+    own = {(d.i, d.j): d.distance for d in P.pdist(df, metric=lambda a, b: float((a * np.arange(40) - b).sum())).collect()}
+    assert own == {(i, j): float((x[:, i] * np.arange(40) - x[:, j]).sum()) for i in range(6) for j in range(i + 1, 6)}

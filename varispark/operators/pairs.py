@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varispark.functions import counts as C
 from varispark.operators import windows as W
 from varispark.operators.diversity import mask_inaccessible
+from varispark.session import materialise, ship_package
 
 
 def r_value(x: Column, y: Column) -> Column:
@@ -137,39 +137,145 @@ def _r(x: np.ndarray, y: np.ndarray) -> float:
     return float((x * y).sum() / d) if d > 0 else float("nan")
 
 
-#: Sums of these terms over variants, finished by the square root for euclidean.
-_METRICS = {
-    "euclidean": lambda x, y: (x - y) * (x - y),
-    "sqeuclidean": lambda x, y: (x - y) * (x - y),
-    "cityblock": lambda x, y: F.abs(x - y),
-    "hamming": lambda x, y: F.when(x != y, 1.0).otherwise(0.0),
+def _abs_sum(f: Callable[[np.ndarray, np.ndarray], np.ndarray], combine=np.sum) -> Callable[[np.ndarray], np.ndarray]:
+    """[i, j] over all columns: ``f`` of columns i and j, combined along the rows."""
+    return lambda m: np.stack([combine(f(m[:, i : i + 1], m), 0) for i in range(m.shape[1])])
+
+
+def _ratio(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.divide(x, y, out=np.zeros(np.broadcast(x, y).shape), where=y != 0)
+
+
+def _cosine(xy, xx, yy):
+    d = np.sqrt(xx * yy)
+    return np.where(d > 0, 1 - _ratio(xy, d), np.nan)
+
+
+#: Matrices over samples that add up (the maximum: join) over rows.
+_TERMS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
+    "n": lambda m: np.full((m.shape[1],) * 2, float(len(m))),
+    "xy": lambda m: m.T @ m,
+    "xx": lambda m: np.repeat((m * m).sum(0)[:, None], m.shape[1], 1),
+    "yy": lambda m: np.repeat((m * m).sum(0)[None, :], m.shape[1], 0),
+    "x": lambda m: np.repeat(m.sum(0)[:, None], m.shape[1], 1),
+    "y": lambda m: np.repeat(m.sum(0)[None, :], m.shape[1], 0),
+    "abs": _abs_sum(lambda x, y: np.abs(x - y)),
+    "max": _abs_sum(lambda x, y: np.abs(x - y), np.max),
+    "differ": _abs_sum(lambda x, y: (x != y).astype(float)),
+    "canberra": _abs_sum(lambda x, y: _ratio(np.abs(x - y), np.abs(x) + np.abs(y))),
+    "plus": _abs_sum(lambda x, y: np.abs(x + y)),
+}
+#: The terms that a metric needs, and how it is made of their totals.
+_METRICS: dict[str, tuple[tuple[str, ...], Callable[..., np.ndarray]]] = {
+    "euclidean": (("xy", "xx", "yy"), lambda xy, xx, yy: np.sqrt(np.maximum(0, xx + yy - 2 * xy))),
+    "sqeuclidean": (("xy", "xx", "yy"), lambda xy, xx, yy: np.maximum(0, xx + yy - 2 * xy)),
+    "cityblock": (("abs",), lambda d: d),
+    "chebyshev": (("max",), lambda d: d),
+    "hamming": (("differ", "n"), lambda d, n: d / n),
+    "canberra": (("canberra",), lambda d: d),
+    "braycurtis": (("abs", "plus"), _ratio),
+    "cosine": (("xy", "xx", "yy"), _cosine),
+    "correlation": (("n", "xy", "xx", "yy", "x", "y"), lambda n, xy, xx, yy, x, y: _cosine(xy - x * y / n, xx - x * x / n, yy - y * y / n)),
 }
 
 
-def pairwise_distance(df: DataFrame, column: str = "gn", metric: str = "euclidean") -> DataFrame:
-    """(i, j, distance) between columns of the array: each row's pairs are formed in place and summed with map-side combine."""
-    term = _METRICS[metric]
-    pairs = F.flatten(F.transform(F.col(column), lambda x, i: F.transform(F.slice(F.col(column), i + 2, F.size(column)), lambda y, k: F.struct(i.alias("i"), (i + k + 1).alias("j"), term(x.cast("double"), y.cast("double")).alias("t")))))
-    got = df.select(F.explode(pairs).alias("p")).groupBy("p.i", "p.j").agg(F.sum("p.t").alias("s"), F.count("*").alias("n"))
-    out = F.sqrt("s") if metric == "euclidean" else F.col("s") / F.col("n") if metric == "hamming" else F.col("s")
-    return got.select("i", "j", out.alias("distance"))
+def _by_matrices(rows: DataFrame, read: Callable[[pa.RecordBatch], np.ndarray], terms: dict[str, Callable[[np.ndarray], np.ndarray]], finish: Callable[..., np.ndarray]) -> DataFrame:
+    """(i, j, value), i < j: each task adds up its matrices over samples, whose rows are then added up by i."""
+    ship_package(rows.sparkSession)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            if b.num_rows:
+                m = read(b)
+                for k, f in terms.items():
+                    x = f(m)
+                    total[k] = x if k not in total else np.maximum(total[k], x) if k == "max" else total[k] + x
+        for k, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(x)), pa.array(np.arange(len(x), dtype=np.int32)), pa.array([r.tobytes() for r in x], pa.binary())], ["term", "i", "values"])
+
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        i, total = key[0].as_py(), {}
+        for k, raw in zip(t.column("term").to_pylist(), t.column("values").to_pylist(), strict=True):
+            x = np.frombuffer(raw)
+            total[k] = x if k not in total else np.maximum(total[k], x) if k == "max" else total[k] + x
+        value = finish(*(total[k][i + 1 :] for k in terms))
+        j = np.arange(i + 1, i + 1 + len(value), dtype=np.int32)
+        return pa.table({"i": pa.array(np.full(len(j), i, np.int32)), "j": pa.array(j), "value": pa.array(value, pa.float64(), from_pandas=True)})
+
+    return rows.mapInArrow(partial, "term string, i int, values binary").groupBy("i").applyInArrow(add, "i int, j int, value double")
+
+
+def _read_matrix(b: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(b.column(0).flatten()).reshape(b.num_rows, -1).astype(float)
+
+
+def pairwise_distance(df: DataFrame, column: str = "gn", metric: str | Callable[[np.ndarray, np.ndarray], float] = "euclidean") -> DataFrame:
+    """(i, j, distance) between columns of the array.
+
+    Named metrics add up matrices over samples in each task; samples squared numbers a
+    task are shuffled. A callable gets the two whole columns, in the order of ``vidx``: a
+    task holds two of them at a time.
+    """
+    if callable(metric):
+        return _pairs_by(df, column, metric)
+    if metric not in _METRICS:
+        raise ValueError(f"unrecognised metric {metric!r}")
+    names, finish = _METRICS[metric]
+    got = _by_matrices(df.select(F.col(column).cast("array<double>").alias("x")), _read_matrix, {k: _TERMS[k] for k in names}, finish)
+    return got.withColumnRenamed("value", "distance")
+
+
+def _pairs_by(df: DataFrame, column: str, f: Callable[[np.ndarray, np.ndarray], float]) -> DataFrame:
+    long = df.select("vidx", F.posexplode(F.col(column).cast("array<double>")).alias("k", "v"))
+    of = long.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("vidx", "v"))), lambda x: x["v"]).alias("c"))
+    of = materialise(of)
+    n = of.count()
+    # one row for each pair of columns: that is the result's size
+    left = of.select(F.col("k").alias("i"), F.col("c").alias("x"), F.explode(F.sequence(F.col("k") + 1, F.greatest(F.lit(n - 1), F.col("k") + 1))).alias("j")).where(F.col("j") < n)
+    pairs = left.join(of.select(F.col("k").alias("j"), F.col("c").alias("y")), "j").select("i", "j", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = [float(f(np.asarray(x.values), np.asarray(y.values))) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("j"), pa.array(d, pa.float64())], ["i", "j", "distance"])
+
+    return pairs.mapInArrow(run, "i int, j int, distance double")
+
+
+#: Distances between columns by any metric, named or callable.
+pdist = pairwise_distance
 
 
 def pairwise_dxy(df: DataFrame, gac: str = "gac", start: int | None = None, stop: int | None = None, accessible: DataFrame | None = None) -> DataFrame:
-    """(i, j, dxy) between samples, from per-call allele counts; per accessible base if intervals are given."""
+    """(i, j, dxy) between samples, from per-call allele counts; per accessible base if intervals are given.
+
+    The chance that two calls differ is 1 less the sum over alleles of the products of
+    their shares, so the sums over variants are matrix products.
+    """
     rows = df if start is None else df.where(F.col("pos") >= start)
     rows = rows if stop is None else rows.where(F.col("pos") <= stop)
-    g = F.col(gac)
-    pairs = F.flatten(F.transform(g, lambda x, i: F.transform(F.slice(g, i + 2, F.size(g)), lambda y, k: F.struct(i.alias("i"), (i + k + 1).alias("j"), C.mean_pairwise_difference_between(x, y).alias("t")))))
     low, high = W.position_bounds(rows) if start is None or stop is None else (start, stop)
     start, stop = low if start is None else start, high if stop is None else stop
     if accessible is None:
-        n = F.lit(stop - start + 1)
+        n = stop - start + 1
     else:
         rows = mask_inaccessible(rows, accessible)
-        inside = accessible.agg(F.sum(F.greatest(F.lit(0), F.least("stop", F.lit(stop)) - F.greatest("start", F.lit(start)) + 1))).first()[0]
-        n = F.lit(inside or 0)
-    return rows.select(F.explode(pairs).alias("p")).groupBy("p.i", "p.j").agg(F.try_divide(F.coalesce(F.sum("p.t"), F.lit(0.0)), n).alias("dxy"))
+        n = accessible.agg(F.sum(F.greatest(F.lit(0), F.least("stop", F.lit(stop)) - F.greatest("start", F.lit(start)) + 1))).first()[0]
+    bases = float(n or 0)
+
+    def read(b: pa.RecordBatch) -> np.ndarray:
+        calls = b.column(0).flatten()
+        return np.asarray(calls.flatten()).reshape(b.num_rows, len(calls) // b.num_rows, -1).astype(float)
+
+    def apart(x: np.ndarray) -> np.ndarray:
+        total = x.sum(2)
+        share = _ratio(x, total[:, :, None])
+        on = (total > 0).astype(float)
+        return on.T @ on - sum(share[:, :, a].T @ share[:, :, a] for a in range(x.shape[2]))
+
+    got = _by_matrices(rows.select(F.col(gac).cast("array<array<double>>").alias("x")), read, {"t": apart}, lambda t: t / bases if bases else np.full(len(t), np.nan))
+    return got.withColumnRenamed("value", "dxy")
 
 
 def condensed_coords(i: int, j: int, n: int) -> int:
