@@ -120,5 +120,19 @@ pairs as (select x, y from edge union all select y, x from edge),
 reach as (select x, y from pairs union select r.x, b.y from reach r join pairs b on r.y = b.x)
 select doc_id, coalesce(c, 0)::bigint n_shingles, coalesce(least(doc_id, m), doc_id) component_id, coalesce(least(doc_id, m), doc_id) = doc_id kept
 from documents left join n using (doc_id) left join (select x doc_id, min(y) m from reach group by x) using (doc_id)
+""",
+    # texts as hexadecimal digits, in pieces of 512 starts, so that every slice is near the front of a short string
+    "op10_suffix_array_dedup": """
+with d as (select doc_id, row_number() over () r, hex(encode(coalesce(text, ''))) x from documents),
+p as (select r, j * 512 o, x[1024 * j + 1:1024 * j + 1822] y from (select r, x, unnest(range(0, (len(x) // 2 - 400) // 512 + 1)) j from d where len(x) >= 800)),
+g as (select r, o + i i, hash(y[2 * i + 1:2 * i + 800]) k, hash(y[2 * i + 1:2 * i + 800] || 'a') m from (select r, o, y, unnest(range(0, least(512, len(y) // 2 - 399))) i from p)),
+k as (select k, m from g group by k, m having count(*) > 1),
+hit as (select r, i from g semi join k using (k, m)),
+edge as (select r, i, case when i - lag(i) over (partition by r order by i) <= 400 then 0 else 1 end new from hit),
+run as (select r, min(i) a, max(i) + 400 b from (select r, i, sum(new) over (partition by r order by i) n from edge) group by r, n),
+rest as (select r, list(a order by a) aa, list(b order by a) bb, sum(b - a) n, count(*) c from run group by r),
+kept as (select r, list_aggregate(list_transform(range(0, len(aa) + 1), lambda j: x[2 * (case when j = 0 then 0 else bb[j] end) + 1:2 * (case when j = len(aa) then len(x) // 2 else aa[j + 1] end)]), 'string_agg', '') h from d join rest using (r))
+select doc_id, (len(x) // 2)::bigint n_bytes, coalesce(n, 0)::bigint n_removed, coalesce(c, 0)::bigint n_spans, sha256(from_hex(coalesce(h, x))) kept_sha256
+from d left join rest using (r) left join kept using (r)
 """,
 }
