@@ -391,3 +391,128 @@ def test_distances_of_every_metric(spark):
         assert len(got) == 15 and all(abs(got[i, j] - f(x[:, i], x[:, j])) < 1e-9 for i, j in got), name
     own = {(d.i, d.j): d.distance for d in P.pdist(df, metric=lambda a, b: float((a * np.arange(40) - b).sum())).collect()}
     assert own == {(i, j): float((x[:, i] * np.arange(40) - x[:, j]).sum()) for i in range(6) for j in range(i + 1, 6)}
+
+
+def test_painting_against_prefixes(spark):
+    r = np.random.default_rng(8)
+    a = (r.random((12, 10)) < 0.3).astype(int)
+    a[:, 3] = a[:, 7]
+    df = spark.createDataFrame([(v, a[v].tolist()) for v in range(12)], "vidx long, h array<int>")
+    got = {(x.vidx, x.hidx): x.colour for x in H.voight_painting(df).collect()}
+    assert len(got) == 120
+    order = sorted(range(10), key=lambda k: (a[:, k].tolist(), k))
+    want, colour, fresh = {}, {k: 1 for k in range(10)}, 2
+    for v in range(12):
+        groups: dict[tuple, list[int]] = {}
+        for k in order:
+            groups.setdefault(tuple(a[:v, k]), []).append(k)
+        for members in groups.values():
+            parts = [[k for k in members if a[v, k] == x] for x in (0, 1)]
+            if all(parts):
+                major = int(len(parts[1]) > len(parts[0]))
+                for x, part in enumerate(parts):
+                    if len(part) == 1:
+                        colour[part[0]] = 0
+                    elif x != major:
+                        for k in part:
+                            colour[k] = fresh
+                        fresh += 1
+        want |= {(v, k): colour[k] for k in range(10)}
+    assert got == want
+    with pytest.raises(NotImplementedError):
+        H.voight_painting(df.withColumn("h", F.transform("h", lambda x: x + 1)))
+
+
+def test_jackknife_of_any_statistic(spark):
+    x, y = [1.0, 4.0, 2.0, 8.0], [2.0, 2.0, 5.0, 4.0]
+    df = spark.createDataFrame(list(zip(range(4), x, y, strict=True)), "w long, x double, y double")
+    ratio = lambda a, b: a.sum() / b.sum()
+    got = D.jackknife_of(df, ["x", "y"], ratio, "w").orderBy("k").collect()
+    vj = [ratio(np.delete(x, k), np.delete(y, k)) for k in range(4)]
+    close([g.vj for g in got], vj)
+    close([got[0]["mean"], got[0].se], [np.mean(vj), np.sqrt(3 / 4 * np.sum((vj - np.mean(vj)) ** 2))])
+    with pytest.raises(ValueError):
+        D.jackknife_of(df, ["x"], np.mean, "w", most=3)
+
+
+def base_by_base(start, move, emissions):
+    score, back = start + emissions[0], []
+    for e in emissions[1:]:
+        m = score[:, None] + move
+        back.append(m.argmax(0))
+        score = m.max(0) + e
+    path = [int(score.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+def test_roh_with_bases_that_are_not_observed(spark):
+    n, hets = 400, [101, 104, 107, 110, 113, 250, 330, 333, 336]
+    mask = [(1, 90), (100, 240), (245, 400)]
+    df = spark.createDataFrame([(p, [[0, 1], [0, 0]]) for p in hets], "pos long, gt array<array<int>>")
+    shown = np.zeros(n + 1, bool)
+    for a, b in mask:
+        shown[a : b + 1] = True
+    het = np.array([0.001, 0.05, 0.3])
+    e = np.log(R.emission_matrix(het, shown.sum() / n))
+    rows = [e[:, 2] if not shown[p] else e[:, 1] if p in hets else e[:, 0] for p in range(1, n + 1)]
+    path = base_by_base(np.log(np.full(3, 1 / 3)), np.log(R.transition_matrix(0.01, 3)), rows)
+    inside = {p + 1 for p, s in enumerate(path) if s == 0}
+    got = R.roh_mhmm(df, n, 0.001, (0.05, 0.3), 0.01, accessible=spark.createDataFrame(mask, "start long, stop long")).collect()
+    first = [x for x in got if x.sidx == 0]
+    assert {p for x in first for p in range(x.start, x.stop + 1)} == inside and abs(first[0].froh - len(inside) / n) < 1e-12
+    assert [(x.start, x.stop, x.froh) for x in got if x.sidx == 1] == [(1, n, 1.0)]
+    windows = R.roh_poissonhmm(df, n, 0.001, (0.05, 0.3), 0.01, window_size=20, accessible=spark.createDataFrame(mask, "start long, stop long")).where("sidx = 1").collect()
+    assert [(x.start, x.stop) for x in windows] == [(1, 393)]
+
+
+def test_samples_without_a_run_are_told(spark):
+    df = spark.createDataFrame([(p, [[0, 1], [0, 0]]) for p in range(1, 101)], "pos long, gt array<array<int>>")
+    got = {x.sidx: (x.start, x.froh) for x in R.roh_mhmm(df, 100, 0.001, (0.5,), 0.001).collect()}
+    assert got == {0: (None, 0.0), 1: (1, 1.0)}
+
+
+def test_scalers_and_randomised_pca(spark):
+    r = np.random.default_rng(2)
+    x = r.integers(0, 3, (200, 12))
+    x[:, :6] = np.minimum(2, x[:, :6] + (r.random((200, 6)) < 0.4))
+    df = spark.createDataFrame([(v, x[v].tolist()) for v in range(200)], "vidx long, gn array<int>").repartition(3)
+    exact, _ = P.pca(df, 2)
+    near, model = P.randomized_pca(df, 2, random_state=1)
+    assert np.allclose(np.abs(exact), np.abs(near), atol=1e-6) and model.samples_.shape == (12, 2)
+    sd = x.std(1)
+    want = {v: (x[v] - x[v].mean()) / sd[v] for v in range(200) if sd[v] > 0}
+    got = {g.vidx: g.gn for g in P.get_scaler("standard").fit_transform(df).collect()}
+    assert all(np.allclose(got[v], want[v]) if v in want else got[v] is None for v in range(200))
+    half = df.withColumn("gn", F.slice("gn", 1, 3))
+    fitted = P.get_scaler("center").fit(df).transform(half).where("vidx = 5").first().gn
+    assert np.allclose(fitted, x[5, :3] - x[5].mean())
+    with pytest.raises(ValueError):
+        P.get_scaler("other")
+
+
+def test_checks(spark):
+    from pyspark.sql import types as T
+
+    from varispark.functions import checks as K
+
+    df = spark.createDataFrame([(0, [[0, 1], [0, 0]], [0, 1, 0], "x"), (1, [[0, 1], [1]], [0, 1], "y")], "vidx long, gt array<array<int>>, h array<int>, t string")
+    K.check_ndim(df, "gt", 3)
+    K.check_type(df, "gt", T.ArrayType)
+    K.check_integer_dtype(df, "h")
+    K.check_dtype(df, "h", "int")
+    K.check_dtype_kind(df, "gt", T.NumericType)
+    K.check_rows_aligned(df, df.select("vidx"))
+    for bad in (lambda: K.check_ndim(df, "h", 3), lambda: K.check_type(df, "t", T.ArrayType), lambda: K.check_integer_dtype(df, "t"), lambda: K.check_dtype(df, "h", "tinyint"), lambda: K.check_dtype_kind(df, "t", T.NumericType)):
+        with pytest.raises(TypeError):
+            bad()
+    with pytest.raises(ValueError):
+        K.check_same_ndim(df, "gt", "h")
+    with pytest.raises(ValueError):
+        K.check_rows_aligned(df, df.where("vidx = 0"))
+    one = df.where("vidx = 0")
+    for c in (K.require_ploidy("gt", 2), K.require_samples("h", 3), K.require_length("h", 3), K.require_aligned("gt", F.slice("h", 1, 2))):
+        assert len(one.select(c.alias("c")).first().c) > 1
+        with pytest.raises(Exception, match="ploidy|samples|elements|length"):
+            df.where("vidx = 1").select(K.require_aligned(c, F.lit([1, 2, 3])).alias("c")).collect()

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varispark.functions import calls, counts as C
 from varispark.operators import windows as W
+from varispark.session import materialise, ship_package
 
 
 def jackknife_ratio(blocks: DataFrame, num: str, den: str, overall: tuple[Column, Column] | None = None) -> DataFrame:
@@ -34,12 +37,35 @@ def jackknife_ratio(blocks: DataFrame, num: str, den: str, overall: tuple[Column
 
 
 def jackknife(values: DataFrame, value: str) -> DataFrame:
-    """Delete-one jackknife of the mean: mean of replicates, se and n."""
-    w = Window.partitionBy()
-    n = F.count("*").over(w)
-    rows = values.select(((F.sum(value).over(w) - F.col(value)) / (n - 1)).alias("vj"), n.alias("n"))
-    rows = rows.withColumn("m", F.avg("vj").over(w))
-    return rows.agg(F.avg("vj").alias("mean"), F.sqrt((F.max("n") - 1) / F.max("n") * F.sum((F.col("vj") - F.col("m")) * (F.col("vj") - F.col("m")))).alias("se"), F.max("n").alias("n"))
+    """Delete-one jackknife of the mean: mean of replicates, se and n, from sums alone."""
+    x, n = F.col(value), F.count(value)
+    return values.agg(F.avg(x).alias("mean"), (F.stddev_samp(x) / F.sqrt(n)).alias("se"), n.alias("n"))
+
+
+def jackknife_of(values: DataFrame, columns: Sequence[str], statistic: Callable[..., float], order: str, most: int = 1_000_000) -> DataFrame:
+    """(k, vj, mean, se): the statistic of the columns with row k left out, k by ``order``.
+
+    ``statistic`` gets one array a column. It needs all values at once, so they are sent to
+    every task: more than ``most`` rows (blocks, as a rule) are refused. Replicates are
+    computed on the executors.
+    """
+    n = values.count()
+    if n > most:
+        raise ValueError(f"{n} values, {most} at most")
+    spark = values.sparkSession
+    ship_package(spark)
+    t = values.select(order, *columns).orderBy(order).toArrow()
+    arrays = spark.sparkContext.broadcast([t.column(1 + c).to_numpy() for c in range(len(columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("k").to_pylist()
+            vj = [float(statistic(*(np.delete(x, k) for x in arrays.value))) for k in at]
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(vj, pa.float64())], ["k", "vj"])
+
+    got = materialise(spark.range(n).withColumnRenamed("id", "k").mapInArrow(run, "k bigint, vj double"))
+    m = got.agg(F.avg("vj").alias("mean"), (F.sqrt((F.count("vj") - 1) / F.count("vj")) * F.sqrt(F.var_pop("vj") * F.count("vj"))).alias("se"))
+    return got.crossJoin(F.broadcast(m))
 
 
 def with_ratio_parts(df: DataFrame, parts: tuple[Column, Column]) -> DataFrame:

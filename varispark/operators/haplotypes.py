@@ -95,6 +95,70 @@ def ehh_decay(df: DataFrame, h: str = "h", truncate: bool = False) -> DataFrame:
     return out.where("ehh > 0") if truncate else out
 
 
+def neighbour_shared_prefix_lengths(df: DataFrame, h: str = "h", ordered: bool = True) -> DataFrame:
+    """(rank, hidx, length): variants that each haplotype shares from the first on with the next one, by prefix order [or as they stand]."""
+    width, n = df.agg(F.max(F.size(h)), F.count("*")).first()
+    if ordered:
+        order = prefix_argsort(df, h)
+    else:
+        order = df.sparkSession.range(width or 0).select(F.col("id").alias("rank"), F.col("id").cast("int").alias("hidx"))
+    after = order.select((F.col("rank") - 1).alias("rank"), F.col("hidx").alias("next"))
+    pairs = order.join(after, "rank").select("rank", "hidx", F.least("hidx", "next").alias("i"), F.greatest("hidx", "next").alias("j"))
+    return pairs.join(first_differences(df, h), ["i", "j"], "left").select("rank", "hidx", F.coalesce("at", F.lit(n)).alias("length"))
+
+
+def _colours(shared: list[int], n_variants: int) -> list[tuple[int, int, int, int]]:
+    """(rank, from, to, colour) of sorted haplotypes whose neighbours share ``shared`` variants; colour 0 is unpainted."""
+    n = len(shared) + 1
+    since, colour = [0] * n, [1] * n
+    out: list[tuple[int, int, int, int]] = []
+
+    def paint(ranks: range, v: int, c: int) -> None:
+        for k in ranks:
+            if v > since[k]:
+                out.append((k, since[k], v - 1, colour[k]))
+            since[k], colour[k] = v, c
+
+    groups, fresh = [range(n)], 2
+    for v in sorted({x for x in shared if x < n_variants}):
+        then = []
+        for g in groups:
+            cut = next((k + 1 for k in g[:-1] if shared[k] == v), None)
+            if cut is None:
+                then.append(g)
+                continue
+            parts = [range(g.start, cut), range(cut, g.stop)]
+            major = int(len(parts[1]) > len(parts[0]))
+            for which, part in enumerate(parts):
+                if len(part) == 1:
+                    paint(part, v, 0)
+                    continue
+                if which != major:
+                    paint(part, v, fresh)
+                    fresh += 1
+                then.append(part)
+        groups = then
+    paint(range(n), n_variants, 0)
+    return out
+
+
+def voight_painting(df: DataFrame, h: str = "h") -> DataFrame:
+    """(vidx, rank, hidx, colour): haplotypes in prefix order, each shared prefix in a colour of its own, 0 where none is shared.
+
+    At a split the larger side (of equal ones that with allele 0) keeps the colour. The
+    splits number less than the haplotypes; they are walked on the driver, rows are made on the executors.
+    """
+    low, high, n, width = df.agg(F.min(F.array_min(h)), F.max(F.array_max(h)), F.count("*"), F.max(F.size(h))).first()
+    if n and (low < 0 or high > 1):
+        raise NotImplementedError("only called biallelic variants can be painted")
+    shared = [r["length"] for r in neighbour_shared_prefix_lengths(df, h).orderBy("rank").collect()] if width else []
+    spark = df.sparkSession
+    runs = spark.createDataFrame(_colours(shared, n) if width else [], "rank bigint, low bigint, high bigint, colour int")
+    runs = runs.withColumn("k", F.explode(F.sequence(F.floor(F.col("low") / _RUN), F.floor(F.col("high") / _RUN))))
+    cells = runs.select("rank", "colour", F.explode(F.sequence(F.greatest("low", F.col("k") * _RUN), F.least("high", F.col("k") * _RUN + (_RUN - 1)))).alias("vidx"))
+    return cells.join(prefix_argsort(df, h), "rank").select("vidx", "rank", "hidx", "colour")
+
+
 def shared_suffix_lengths(df: DataFrame, h: str = "h", reverse: bool = False, by_class: bool = True) -> DataFrame:
     """(vidx, i, j, cls, ssl), scanning forwards or backwards; missing alleles count as matches."""
     return suffix_rows(df, h, reverse, by_class)

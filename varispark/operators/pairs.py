@@ -358,7 +358,7 @@ class GenotypePCA:
         n = int(i.max()) + 1 if len(i) else 0
         g = np.zeros((n, n))
         g[i, j] = v
-        values, vectors = np.linalg.eigh(g)
+        values, vectors = self._solve(g)
         order = np.argsort(values)[::-1][: self.k]
         self.singular_values_ = np.sqrt(np.maximum(values[order], 0))
         self.coords_ = vectors[:, order] * self.singular_values_
@@ -367,6 +367,9 @@ class GenotypePCA:
         self.samples_ = vectors[:, order]
         return self
 
+    def _solve(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.linalg.eigh(g)
+
     def fit_transform(self, df: DataFrame, gn: str = "gn") -> np.ndarray:
         return self.fit(df, gn).coords_
 
@@ -391,8 +394,54 @@ def pca(df: DataFrame, n_components: int = 10, scaler: str | None = "patterson",
     return m.fit_transform(df, gn), m
 
 
+class GenotypeRandomizedPCA(GenotypePCA):
+    """PCA by a randomised range finder on the Gram matrix, whose passes over variants are the same one."""
+
+    def _solve(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(g)
+        r = np.random.default_rng(self.random_state)
+        q = r.normal(size=(n, min(n, self.k + 10)))
+        for _ in range(1 + (3 if self.iterated_power is None else self.iterated_power)):
+            q, _ = np.linalg.qr(g @ q)
+        values, vectors = np.linalg.eigh(q.T @ g @ q)
+        return values, q @ vectors
+
+
 def randomized_pca(df: DataFrame, n_components: int = 10, iterated_power: int = 3, random_state: int | None = None, scaler: str | None = "patterson", ploidy: int = 2, gn: str = "gn") -> tuple[np.ndarray, GenotypePCA]:
-    """The Gram form is exact and already small, so it answers the randomised call too."""
-    m = GenotypePCA(n_components, scaler, ploidy, random_state, iterated_power)
+    m = GenotypeRandomizedPCA(n_components, scaler, ploidy, random_state, iterated_power)
     return m.fit_transform(df, gn), m
 
+
+class Scaler:
+    """Fits a location and a scale to each variant, and applies them to the same variants of other samples."""
+
+    def __init__(self, kind: str | None = "patterson", ploidy: int = 2):
+        if kind not in (None, "center", "centre", "standard", "patterson"):
+            raise ValueError(f"unrecognised scaler {kind!r}")
+        self.kind, self.ploidy = kind, ploidy
+
+    def fit(self, df: DataFrame, gn: str = "gn") -> Scaler:
+        n = F.size(gn)
+        mean = F.aggregate(gn, F.lit(0.0), lambda s, x: s + x.cast("double")) / n
+        if self.kind == "standard":
+            sd = F.sqrt(F.aggregate(gn, F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") - F.col("mean"), F.lit(2.0))) / n)
+        elif self.kind == "patterson":
+            sd = F.sqrt(F.col("mean") / self.ploidy * (1 - F.col("mean") / self.ploidy))
+        else:
+            sd = F.lit(1.0)
+        rows = df.withColumn("mean", mean).withColumn("sd", sd)
+        self.table_ = materialise(rows.select("vidx", "mean", "sd"))
+        return self
+
+    def transform(self, df: DataFrame, gn: str = "gn") -> DataFrame:
+        """``df`` with its array scaled; NULL for variants without spread."""
+        own = self.table_.select("vidx", F.col("mean").alias("_mean"), F.col("sd").alias("_sd"))
+        scaled = F.when(F.col("_sd") > 0, F.transform(gn, lambda x: (x.cast("double") - F.col("_mean")) / F.col("_sd")))
+        return df.join(own, "vidx").withColumn(gn, scaled).drop("_mean", "_sd")
+
+    def fit_transform(self, df: DataFrame, gn: str = "gn") -> DataFrame:
+        return self.fit(df, gn).transform(df, gn)
+
+
+def get_scaler(scaler: str | None, ploidy: int = 2) -> Scaler:
+    return Scaler(scaler, ploidy)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from varispark.operators import windows as W
+
 
 def _listed(df: DataFrame, state: str, states: Sequence, idx: str) -> DataFrame:
     return df.where(F.col(state).isin(list(states))).select(F.col(idx).alias("idx"), F.col(state).alias("state"), *(["pos"] if "pos" in df.columns and idx != "pos" else []))
@@ -39,6 +41,11 @@ def transition_matrix(t: float, n: int) -> np.ndarray:
     return np.where(np.eye(n, dtype=bool), 1 - t, t / (n - 1))
 
 
+def emission_matrix(het: np.ndarray, p_accessible: float) -> np.ndarray:
+    """A row a state: chances of a base without het call, of a het call, and of one that is not observed."""
+    return np.stack([(1 - het) * p_accessible, het * p_accessible, np.full(len(het), 1 - p_accessible)], 1)
+
+
 def _viterbi_runs(log_start, log_move, steps: list[tuple[np.ndarray, int]]) -> list[tuple[int, int]]:
     """Best states for observations given as (log emission, repeats): (state, length) runs.
 
@@ -80,56 +87,94 @@ def _blocks(runs: list[tuple[int, int]], first: int, scale: int) -> list[tuple[i
 _ROH_SCHEMA = "sidx int, start bigint, stop bigint, length bigint, is_marginal boolean, froh double"
 
 
-def _roh(df: DataFrame, decode, contig_size: int, min_roh: int, gt: str, inclusive: bool) -> DataFrame:
-    """Decode every sample on its own: its variants pass through one task."""
+def _roh(df: DataFrame, each: DataFrame, decode, contig_size: int, min_roh: int, gt: str, inclusive: bool) -> DataFrame:
+    """Decode every sample on its own: its het calls, and the rows of ``each``, pass through one task.
+
+    A sample without a run has one row, whose run is NULL and whose ``froh`` is 0.
+    """
+
+    def run(key: tuple, calls: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        sidx = int(rows["sidx"].iloc[0]) if len(rows) else int(calls["sidx"].iloc[0])
+        found = [(a, b) for s, a, b in decode(np.sort(calls["at"].to_numpy()), rows) if s == 0]
+        found = [(a, b, b - a + 1 if inclusive else b - a) for a, b in found]
+        found = [r for r in found if r[2] >= min_roh]
+        froh = sum(r[2] for r in found) / contig_size
+        out = [(sidx, a, b, n, a <= 1 or b >= contig_size, froh) for a, b, n in found] or [(sidx, None, None, None, None, 0.0)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _ROH_SCHEMA.split(", ")]).astype({"start": "Int64", "stop": "Int64", "length": "Int64", "is_marginal": "boolean"})
+
+    het = F.forall("g", lambda a: a >= 0) & F.exists("g", lambda a: a != F.col("g")[0])
+    calls = df.select("pos", F.posexplode(gt).alias("sidx", "g")).where(het)
+    calls = calls.select("sidx", F.col("pos").alias("at"))
+    return calls.groupBy("sidx").cogroup(each.groupBy("sidx")).applyInPandas(run, _ROH_SCHEMA)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        rows = [(a, b) for s, a, b in decode(pdf["pos"].to_numpy(), pdf["het"].to_numpy()) if s == 0]
-        rows = [(a, b, b - a + 1 if inclusive else b - a) for a, b in rows]
-        rows = [r for r in rows if r[2] >= min_roh]
-        froh = sum(r[2] for r in rows) / contig_size
-        return pd.DataFrame([(key[0], a, b, n, a <= 1 or b >= contig_size, froh) for a, b, n in rows], columns=[c.split()[0] for c in _ROH_SCHEMA.split(", ")])
 
-    calls = df.select("pos", F.posexplode(gt).alias("sidx", "g")).select("sidx", "pos", (F.forall("g", lambda a: a >= 0) & F.exists("g", lambda a: a != F.col("g")[0])).alias("het"), F.forall("g", lambda a: a >= 0).alias("called"))
-    return calls.where("called").groupBy("sidx").applyInPandas(run, _ROH_SCHEMA)
+def _for_samples(df: DataFrame, gt: str, rows: DataFrame | None) -> DataFrame:
+    """``rows`` once for every sample; without rows, one row a sample."""
+    n = df.agg(F.max(F.size(gt))).first()[0] or 0
+    each = F.explode(F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")).alias("sidx")
+    return df.sparkSession.range(1).select(each) if rows is None else rows.select(each, *rows.columns)
 
 
-def roh_mhmm(df: DataFrame, contig_size: int, phet_roh: float = 0.001, phet_nonroh: Sequence[float] = (0.0025, 0.01), transition: float = 1e-6, min_roh: int = 0, p_accessible: float | None = None, gt: str = "gt") -> DataFrame:
-    """Runs of homozygosity by a categorical HMM over every base (no variant, het), decoded by stretches."""
-    if p_accessible is not None:
-        raise NotImplementedError("inaccessible bases are not observed as such: p_accessible has no effect")
+def roh_mhmm(df: DataFrame, contig_size: int, phet_roh: float = 0.001, phet_nonroh: Sequence[float] = (0.0025, 0.01), transition: float = 1e-6, min_roh: int = 0, gt: str = "gt", accessible: DataFrame | None = None) -> DataFrame:
+    """Runs of homozygosity by a categorical HMM over every base (no variant, het, not observed), decoded by stretches.
+
+    Bases outside the disjoint ``accessible`` intervals are not observed.
+    """
     het = np.array([phet_roh, *phet_nonroh])
     k = len(het)
     move, start = np.log(transition_matrix(transition, k)), np.log(np.full(k, 1 / k))
-    yes, no = np.log(het), np.log(1 - het)
+    masked = accessible is not None
+    share = (accessible.agg(F.sum(F.col("stop") - F.col("start") + 1)).first()[0] or 0) / contig_size if masked else 1.0
+    with np.errstate(divide="ignore"):  # where all bases are accessible, or none, the other symbols don't occur
+        no, yes, unseen = np.log(emission_matrix(het, share)).T
 
-    def decode(pos: np.ndarray, is_het: np.ndarray) -> list[tuple[int, int, int]]:
+    def decode(pos: np.ndarray, mask: pd.DataFrame) -> list[tuple[int, int, int]]:
+        ends = sorted(zip(mask["start"].tolist(), mask["stop"].tolist(), strict=True)) if masked else [(1, contig_size)]
         steps, at = [], 1
-        for p in pos[is_het.astype(bool)].tolist():
-            if p > at:
-                steps.append((no, p - at))
-            steps.append((yes, 1))
-            at = p + 1
-        if at <= contig_size:
-            steps.append((no, contig_size - at + 1))
-        return _blocks(_viterbi_runs(start, move, steps), 1, 1)
 
-    return _roh(df, decode, contig_size, min_roh, gt, True)
+        def until(emission: np.ndarray, stop: int) -> None:
+            nonlocal at
+            if stop >= at:
+                steps.append((emission, stop - at + 1))
+                at = stop + 1
+
+        for a, b in ends:
+            until(unseen, min(a - 1, contig_size))
+            for p in np.unique(pos[np.searchsorted(pos, at) : np.searchsorted(pos, b, "right")]).tolist():
+                until(no, p - 1)
+                until(yes, p)
+            until(no, min(b, contig_size))
+        until(unseen, contig_size)
+        return _blocks(_viterbi_runs(start, move, steps), 1, 1) if steps else []
+
+    each = _for_samples(df, gt, accessible.select("start", "stop") if masked else None)
+    return _roh(df, each, decode, contig_size, min_roh, gt, True)
 
 
-def roh_poissonhmm(df: DataFrame, contig_size: int, phet_roh: float = 0.001, phet_nonroh: Sequence[float] = (0.0025, 0.01), transition: float = 0.001, window_size: int = 1000, min_roh: int = 0, gt: str = "gt") -> DataFrame:
-    """Runs of homozygosity by a Poisson HMM over counts of het calls in windows; lengths exclude the last base."""
+def roh_poissonhmm(df: DataFrame, contig_size: int, phet_roh: float = 0.001, phet_nonroh: Sequence[float] = (0.0025, 0.01), transition: float = 0.001, window_size: int = 1000, min_roh: int = 0, gt: str = "gt", accessible: DataFrame | None = None) -> DataFrame:
+    """Runs of homozygosity by a Poisson HMM over counts of het calls in windows; lengths exclude the last base.
+
+    With ``accessible`` intervals, each window has as many accessible bases.
+    """
     rate = np.array([phet_roh, *phet_nonroh]) * window_size
     k = len(rate)
     move, start = np.log(transition_matrix(transition, k)), np.log(np.full(k, 1 / k))
+    masked = accessible is not None
 
-    def decode(pos: np.ndarray, is_het: np.ndarray) -> list[tuple[int, int, int]]:
-        n = -(-contig_size // window_size)
-        counts = np.bincount((pos[is_het.astype(bool)] - 1) // window_size, minlength=n)
+    def decode(pos: np.ndarray, rows: pd.DataFrame) -> list[tuple[int, int, int]]:
+        if masked:
+            rows = rows.sort_values("window_start")
+            first, last = rows["window_start"].to_numpy(), rows["window_stop"].to_numpy()
+        else:
+            first = np.arange(1, contig_size + 1, window_size)
+            last = np.minimum(first + window_size - 1, contig_size)
+        if not len(first):
+            return []
+        w = np.searchsorted(first, pos, "right") - 1
+        counts = np.bincount(w[(w >= 0) & (pos <= last[w])], minlength=len(first))
         factorial = np.cumsum(np.log(np.maximum(1, np.arange(counts.max() + 1))))
-        steps = [(c * np.log(rate) - rate - factorial[c], 1) for c in counts.tolist()]
-        blocks = _blocks(_viterbi_runs(start, move, steps), 1, window_size)
-        return [(s, a, min(b, contig_size)) for s, a, b in blocks]
+        blocks = _blocks(_viterbi_runs(start, move, [(c * np.log(rate) - rate - factorial[c], 1) for c in counts.tolist()]), 0, 1)
+        return [(s, int(first[a]), int(last[b])) for s, a, b in blocks]
 
-    return _roh(df, decode, contig_size, min_roh, gt, False)
+    windows = W.equally_accessible_windows(accessible, window_size).select("window_start", "window_stop") if masked else None
+    return _roh(df, _for_samples(df, gt, windows), decode, contig_size, min_roh, gt, False)

@@ -707,6 +707,67 @@ def _(df):
     return H.nsl(df).withColumn("nsl", r("nsl"))
 
 
+@on_grid("garud_h", "select round(sum(f * f), 9) h1, round(pow(sum(f) filter (where r <= 2), 2) + coalesce(sum(f * f) filter (where r > 2), 0), 9) h12, round(pow(sum(f) filter (where r <= 3), 2) + coalesce(sum(f * f) filter (where r > 3), 0), 9) h123, round(coalesce(sum(f * f) filter (where r > 1), 0) / sum(f * f), 9) h2_h1, round((1 - sum(f * f)) * 40 / 39, 9) diversity from (select n / 40.0::double f, row_number() over (order by n desc) r from (select q, count(*) n from (select string_agg(a::varchar, ',' order by vidx) q from g group by hidx) group by q))")
+def _(df):
+    return H.garud_h(df).select(*[r(c).alias(c) for c in ("h1", "h12", "h123", "h2_h1", "diversity")])
+
+
+@on_grid("moving_hfs_rank", "select w, unnest(range(t - n, t)) slot, case when n > 1 then r else 0 end::int rank from (select w, n, row_number() over (partition by w order by n desc, q) r, sum(n) over (partition by w order by n desc, q rows unbounded preceding)::bigint t from (select w, q, count(*) n from (select vidx // 2 w, hidx, list(a order by vidx) q from g where vidx < (select (max(vidx) + 1) // 2 * 2 from g) group by all) group by w, q))")
+def _(df):
+    return H.moving_hfs_rank(df, 2)
+
+
+_PAINT = "f as (select p.hidx i, q.hidx j, coalesce(min(p.vidx) filter (where greatest(p.a, 0) <> greatest(q.a, 0)), (select max(vidx) + 1 from g)) brk from g p join g q on p.vidx = q.vidx and p.hidx <> q.hidx group by 1, 2)"
+
+
+@on_grid("voight_painting_shared", "select v.vidx, h.hidx::int hidx, exists (select 1 from f where f.i = h.hidx and f.brk > v.vidx) shared from (select distinct vidx from g) v, range(40) h(hidx)", _PAINT)
+def _(df):
+    d = df.withColumn("h", F.transform("h", lambda a: F.greatest(a.cast("int"), F.lit(0))))
+    return H.voight_painting(d).select("vidx", "hidx", (F.col("colour") > 0).alias("shared"))
+
+
+@on_grid("neighbour_shared_prefix_lengths", "select hidx::int hidx, coalesce(min(vidx) filter (where a <> b), (select max(vidx) + 1 from g)) length from (select p.vidx, p.hidx, p.a, q.a b from g p join g q on p.vidx = q.vidx and q.hidx = p.hidx + 1) group by hidx")
+def _(df):
+    return H.neighbour_shared_prefix_lengths(df, ordered=False).select("hidx", "length")
+
+
+@on_calls("standardize", "select vidx, round((a1 - avg(a1) over ()) / stddev_pop(a1) over (), 7) z from v")
+def _(df):
+    return H.standardize(df.select("vidx", F.col("ac")[1].alias("x")), "x").select("vidx", F.round("z", 7).alias("z"))
+
+
+@on_calls("standardize_by_allele_count", "select vidx, round((x - avg(x) filter (where a1 between 5 and 15) over (partition by k)) / nullif(stddev_pop(x) filter (where a1 between 5 and 15) over (partition by k), 0), 7) z from (select *, a0::double x, (a1 >= 8)::int + (a1 >= 11)::int k from v)")
+def _(df):
+    d = df.select("vidx", F.col("ac")[0].cast("double").alias("x"), F.col("ac")[1].alias("n"))
+    return H.standardize_by_allele_count(d, "x", "n", bins=[5, 8, 11, 15]).select("vidx", F.round("z", 7).alias("z"))
+
+
+@on_grid("scale_patterson", "select vidx, s::int sidx, round((v - m) / sqrt(nullif(m / 2 * (1 - m / 2), 0)), 7) z from (select *, avg(v) over (partition by vidx) m from (select vidx, s, (x > 0)::int + (y > 0)::int v from c)) where m > 0 and m < 2")
+def _(df):
+    z = P.get_scaler("patterson").fit_transform(_gn(df, 0)).where("gn is not null")
+    return z.select("vidx", F.posexplode("gn").alias("sidx", "z")).withColumn("z", F.round("z", 7))
+
+
+_WC_V = _WC + ", v as (select vidx, any_value(vidx * 10 + 1) pos, sum(a) wa, sum(a + b + c) wd from wc group by vidx)"
+
+
+@on_grid("windowed_weir_cockerham_fst", windowed_sql("round(sum(wa) / nullif(sum(wd), 0), 9) fst", 500)[0], f"{_WC_V}, {position_windows_sql(500)}")
+def _(df):
+    return D.windowed_weir_cockerham_fst(df, _POPS, 500, 1).withColumn("fst", r("fst"))
+
+
+@on_grid("average_weir_cockerham_fst", _average_sql(("wa", "wd"), 20)[0], f"{_WC_V}, {_average_sql(('wa', 'wd'), 20)[1]}")
+def _(df):
+    return D.average_weir_cockerham_fst(df, _POPS, 20, 1).select(r("estimate").alias("estimate"), r("se").alias("se"), "n_blocks")
+
+
+for _metric, _total in {"cityblock": "sum(abs(p.m - q.m))::double", "chebyshev": "max(abs(p.m - q.m))::double", "hamming": "avg((p.m <> q.m)::int)"}.items():
+
+    @on_grid(f"pairwise_{_metric}", f"select p.s::int i, q.s::int j, round({_total}, 7) distance from m p join m q on p.vidx = q.vidx and p.s < q.s group by 1, 2", "m as (select vidx, s, (x > 0)::int + (y > 0)::int m from c)")
+    def _(df, metric=_metric):
+        return P.pairwise_distance(_gn(df, 0), metric=metric).withColumn("distance", F.round("distance", 7))
+
+
 # ---------------------------------------------------------------- pedigree and runs
 
 
