@@ -19,11 +19,12 @@ from varispark.operators import pedigree as M
 from varispark.operators import runs as R
 from varispark.operators import spectrum as S
 from varispark.operators import windows as W
+from varispark.plans import text_queries
 from varispark.plans.expressions import query
 from varispark.plans.views import CALLS_SQL, GRID_SQL, calls_view, grid_view, read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(text_queries.QUERIES)
+SQL: dict[str, str] = dict(text_queries.SQL)
 
 
 def r(c: Column | str) -> Column:

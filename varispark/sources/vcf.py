@@ -7,6 +7,7 @@ column is split, and sample selection is a slice of the sample columns.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -50,10 +51,11 @@ def parse_header(lines: Sequence[str]) -> VcfHeader:
 
 
 def read_vcf_headers(spark: SparkSession, path: str) -> VcfHeader:
-    """Leading lines only, in growing pieces."""
+    """The leading lines, in growing pieces, of the first file by name."""
+    first = min(spark.read.text(path).inputFiles())
     n = 256
     while True:
-        rows = [r[0] for r in spark.read.text(path).take(n)]
+        rows = [r[0] for r in spark.read.text(first).take(n)]
         head = [x for x in rows if x.startswith("#")]
         if any(x.startswith("#CHROM") for x in head) or len(rows) < n or len(head) < len(rows):
             return parse_header(head)
@@ -116,6 +118,9 @@ def resolve_fields(header: VcfHeader, fields: Sequence[str] | None, exclude: Seq
         else:
             names = [f"variants/{f}"]
         out += [n for n in names if n not in out]
+    for n in out:
+        if n not in every and n not in data:
+            warnings.warn(f"{n} is not declared in the header", stacklevel=2)
     skip = set(exclude) | {f"variants/{e}" for e in exclude} | {f"calldata/{e}" for e in exclude}
     return [n for n in out if n not in skip]
 
@@ -183,6 +188,10 @@ def parse_vcf_lines(lines: DataFrame, header: VcfHeader, fields: Sequence[str] |
             sub = lambda s: F.when(where > 0, F.get(F.split(s, ":"), (where - 1).cast("int")))
             if f == "GT" and types.get("GT", types.get(name, "genotype")) == "genotype":
                 v = F.transform(cells, lambda s: _genotype(F.coalesce(sub(s), F.lit(".")), numbers.get("GT", ploidy)))
+            elif f == "GT" and types.get("GT", types.get(name)) == "genotype_ac":
+                # calls of each allele up to alt_number; the others, and missing ones, are not counted
+                counts = lambda s: F.transform(F.sequence(F.lit(0), F.lit(alt_number)), lambda k: F.size(F.filter(F.split(s, "[/|]"), lambda a: a.try_cast("int") == k)).cast("tinyint"))
+                v = F.transform(cells, lambda s: counts(F.coalesce(sub(s), F.lit("."))))
             else:
                 n = _number(d, alt_number, numbers, f)
                 v = F.transform(cells, lambda s: _values(F.coalesce(sub(s), F.lit(".")), kind, n, fills, f))
