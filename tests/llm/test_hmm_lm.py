@@ -70,3 +70,45 @@ def test_held_out_text_is_likelier_than_by_unigrams(spark):
     rows = [(i, " ".join(r.choice(languages[i % 3]) for _ in range(80)), "x", "s", 0) for i in range(300)]
     got = [x for x in score_documents(spark.createDataFrame(rows, SCHEMA), rounds=6, states=4).collect() if x.held_out]
     assert sum(x.score for x in got) > sum(x.base_score for x in got) + 0.2 * sum(x.n_tokens for x in got)
+
+
+def test_score_against_a_plain_version(spark):
+    """Words, classes, counts and rounds of training put together in one process give the same scores."""
+    import pyarrow as pa
+
+    from varispark.llm.ftrl import text_chunks
+    from varispark.llm.hmm_lm import Tokens
+
+    classes, states, rounds = 64, 3, 2
+    rows = [x for x in corpus(22, n=60) if x[0] is not None] + [(900, "deep " * 700, "en", "s", 0)]
+    got = {r.doc_id: r.score for r in score_documents(spark.createDataFrame(rows, SCHEMA).repartition(1), states=states, classes=classes, rounds=rounds).collect()}
+    kinds = {}
+    for i, t, *_ in rows:
+        (c,) = text_chunks(pa.array([(t or "").encode()]))
+        kinds[i] = np.asarray(Tokens(c, classes).kinds).astype(np.uint16)
+        assert len(kinds[i]) == len(words(t))
+    of_word = {w: k for i, t, *_ in rows for w, k in zip(words(t), kinds[i].tolist(), strict=True)}
+    count = Counter(w for i, t, *_ in rows if not held(i) for w in words(t))
+    tokens, distinct = np.zeros(classes), np.zeros(classes)
+    for w, n in count.items():
+        tokens[of_word[w]] += n
+        distinct[of_word[w]] += 1
+    model = Hmm.initial(tokens, states)
+    for _ in range(rounds):
+        model = Hmm.from_counts(model.expected_counts(iter([kinds[i] for i, *_ in rows if not held(i)])), tokens, states)
+    for i, t, *_ in rows:
+        alpha, total = model.start.astype(float), 0.0
+        for at, k in enumerate(kinds[i].tolist()):
+            alpha = (alpha if not at else alpha @ model.move) * model.emit[:, k]
+            total += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        total += sum(math.log10((count[w] + 1) / (tokens[of_word[w]] + distinct[of_word[w]] + 1)) for w in words(t) if w is not None)
+        assert abs(got[i] - total) < 1e-3 * max(1, abs(total)), (i, got[i], total)
+
+
+def test_segments_inside_a_text_are_no_starts():
+    r = np.random.default_rng(3)
+    norm = lambda x: x / x.sum(-1, keepdims=True)
+    m = Hmm(norm(r.random(2)), norm(r.random((2, 2))), norm(r.random((2, 3))))
+    long = r.integers(0, 3, 1000).astype(np.uint16)
+    assert abs(m.expected_counts(iter([long]))[:2].sum() - 1) < 1e-4

@@ -10,15 +10,17 @@ have ``STATES x CLASSES`` entries whatever the vocabulary, while counts of words
 the whole corpus: distinct word keys of each chunk meet in hash buckets, and the global
 count of each goes back to the chunk.
 
-Training is Baum-Welch over all training documents, cut into segments: every partition
-gives expected counts of starts, transitions and emissions, which are added up in two
-steps and normalised. Scoring runs the scaled forward recursion over whole documents,
+Training is Baum-Welch over all training documents, cut into segments of bounded length:
+every partition gives expected counts of starts, transitions and emissions, which are
+added up in two steps and normalised. A segment from the middle of a text begins in the
+long-run shares of the states and counts as no start. Scoring runs the scaled forward recursion over whole documents,
 in step for all documents of a batch, and sums the logarithms of the scales: the exact
 likelihood of the class sequence.
 
 Edge cases: null and empty texts are the end token alone; a null id is no held-out id;
 repeated rows count as often as they occur; without training documents all tokens are
-unknown; an empty table gives an empty result.
+unknown; an empty table gives an empty result; long texts are learned from and scored
+whole; columns other than id and text are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -131,18 +133,27 @@ class Hmm:
         start, move = start + 0.1, move + 0.1
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
+    def stationary(self) -> np.ndarray:
+        """Shares of the states in a long text."""
+        p = np.full(len(self.start), 1 / len(self.start))
+        for _ in range(200):
+            p = p @ self.move.astype(np.float64)
+        return (p / p.sum()).astype(np.float32)
+
     def expected_counts(self, batches: Iterator[np.ndarray]) -> np.ndarray:
         """Baum-Welch counts over class sequences: starts, transitions, emissions."""
         k, classes = self.emit.shape
         start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, classes))
         by_class = np.ascontiguousarray(self.emit.T)
-        for o in _segments(batches):
+        anywhere = self.stationary()
+        for o, opens in _segments(batches):
             t, d = o.shape
             live = o >= 0
             b = by_class[np.maximum(o, 0)]
             alpha = np.empty((t, d, k), np.float32)
             scale = np.empty((t, d, 1), np.float32)
-            a = self.start * b[0]
+            # a segment from the middle of a text starts in any state, and is no start
+            a = np.where(opens[:, None], self.start, anywhere) * b[0]
             for i in range(t):
                 if i:
                     a = (alpha[i - 1] @ self.move) * b[i]
@@ -156,7 +167,7 @@ class Hmm:
                 f = b[i] * beta / scale[i]
                 follow[i] = f * live[i, :, None]
                 beta = np.where(live[i, :, None], f @ self.move.T, beta)
-            start += gamma[0].sum(0)
+            start += gamma[0][opens].sum(0)
             move += self.move * (alpha[:-1].reshape(-1, k).T @ follow[1:].reshape(-1, k))
             at = o[live]
             g = gamma[live]
@@ -192,26 +203,28 @@ class Hmm:
         return out
 
 
-def _segments(batches: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
-    """Class sequences in segments, (time, segments) with -1 after the end of a segment."""
-    held: list[np.ndarray] = []
+def _segments(batches: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Class sequences in segments, (time, segments) with -1 after the end of a segment, and which of them open a text."""
+    held: list[tuple[np.ndarray, bool]] = []
+
+    def drain() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held.sort(key=lambda x: len(x[0]), reverse=True)
+        for i in range(0, len(held), _STEP):
+            yield _columns(held[i : i + _STEP])
+        held.clear()
+
     for seq in batches:
-        held.extend(seq[i : i + _SEGMENT] for i in range(0, len(seq), _SEGMENT))
-        while len(held) >= 8 * _STEP:
-            held.sort(key=len, reverse=True)
-            for i in range(0, len(held), _STEP):
-                yield _columns(held[i : i + _STEP])
-            held = []
-    held.sort(key=len, reverse=True)
-    for i in range(0, len(held), _STEP):
-        yield _columns(held[i : i + _STEP])
-
-
-def _columns(part: list[np.ndarray]) -> np.ndarray:
-    o = np.full((len(part[0]), len(part)), -1, np.int64)
-    for j, s in enumerate(part):
+        held.extend((seq[i : i + _SEGMENT], i == 0) for i in range(0, len(seq), _SEGMENT))
+        if len(held) >= 8 * _STEP:
+            yield from drain()
+    yield from drain()
+
+
+def _columns(part: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    o = np.full((len(part[0][0]), len(part)), -1, np.int64)
+    for j, (s, _) in enumerate(part):
         o[: len(s), j] = s
-    return o
+    return o, np.array([x for _, x in part])
 
 
 _ENCODED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, word_score double, classes binary"
