@@ -34,16 +34,23 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which every executor shares.
 
-    Only where that setting is absent (local tests) is a local folder made and set.
+    Where that setting is absent, a local folder is made and set if the driver is the
+    only machine; on a cluster that is an error.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="varispark-ckpt-"))
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/varispark-{uuid.uuid4().hex}"
 
 
+#: What ``materialise`` has written and not yet dropped, in order: folder, and table if it is one.
+_WRITTEN: list[tuple[str, str | None]] = []
+
+
 def materialise(df: DataFrame, buckets: int | None = None, key: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut there.
 
@@ -55,11 +62,29 @@ def materialise(df: DataFrame, buckets: int | None = None, key: str | None = Non
     writer = df.write.option("compression", "zstd")
     if buckets is None:
         writer.parquet(path)
+        _WRITTEN.append((path, None))
         return spark.read.schema(df.schema).parquet(path)
     name = "varispark_" + path.rsplit("-", 1)[-1]
     writer.format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    _WRITTEN.append((path, name))
     return spark.table(name)
 
 
+def written() -> int:
+    """How much ``materialise`` has written and not dropped; a mark for ``drop_written``."""
+    return len(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, since: int = 0, keep_last: int = 0) -> None:
+    """Drop what was written after the mark ``since`` but the last ``keep_last``; plans that read it can't run again."""
+    gone = _WRITTEN[since : len(_WRITTEN) - keep_last]
+    del _WRITTEN[since : len(_WRITTEN) - keep_last]
+    for path, table in gone:
+        if table is not None:
+            spark.sql(f"drop table if exists {table}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
