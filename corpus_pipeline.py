@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 Parquet and read again as the next one's ``docs``. All but the last keep the columns of
 ``documents``. SQL can express none of the stages, so ``ORACLE_SQL`` is None and
 tests/llm compares the stages with brute-force versions.
+
+Edge cases: a null text counts as empty; empty texts are kept or rejected by their scores
+like any other and are copies of none; of rows of one id near-dedup keeps one, rows
+without an id all stay; a long text is one row throughout; of ties the smallest id stays;
+an empty table gives an empty result; more columns than those of ``documents`` travel to
+the last stage, whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from varispark.llm.quality import THRESHOLD as GOOD_FROM
 from varispark.llm.substring_dedup import dedup_substrings
 from varispark.llm.toxicity import THRESHOLD as TOXIC_FROM
 from varispark.llm.toxicity import score_toxicity, train_toxicity, training_labels
-from varispark.session import materialise
+from varispark.session import drop_written, materialise, written
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -71,8 +77,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage wrote for itself, and its input, go when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = written()
     for _, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir))
+        drop_written(spark, since=before, keep_last=1)
     return docs

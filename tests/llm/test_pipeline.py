@@ -71,3 +71,25 @@ def test_stages(spark, sf_dir):
         per_doc[p.doc_id] = per_doc.get(p.doc_id, 0) + p.length
         assert len(p.ids) == 4 * p.length
     assert per_doc.keys() == {x[0] for x in before}
+
+
+def test_odd_rows_extra_columns_and_empty_tables(spark, sf_dir, tmp_path):
+    from varispark.session import written
+
+    schema = SCHEMA + ", chunk_id string, score double, place int, sequence_id int"
+    more = ("c", 0.5, 1, 2)
+    rows = [(1, None, "en", "s", 0, *more), (2, "", "en", "s", 0, *more), (3, "word1 " * 30_000, "en", "s", 0, *more), (5, "word2 word3 word4 word5 word6 word7", "en", "s", 0, *more), (5, "word2 word3 word4 word5 word6 word7", "en", "s", 0, *more), (None, "word8 word9", None, None, None, *more)]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, schema).write.parquet(f"{d}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").limit(0).write.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    near = dict(pipeline.STAGES)["minhash_near_dedup"](spark, docs, d)
+    assert near.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.chunk_id, r.score, r.place) for r in near.collect()) == [(False, i, "c", 0.5, 1) for i in (1, 2, 3, 5)] + [(True, 0, "c", 0.5, 1)]
+    cut = dict(pipeline.STAGES)["substring_dedup"](spark, docs, d)
+    assert cut.columns == docs.columns and cut.count() == 6
+    before = written()
+    got = pipeline.run(spark, d)
+    assert got.count() >= 0 and written() == before + 1
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{d}/documents.parquet")
+    assert pipeline.run(spark, d).collect() == []
