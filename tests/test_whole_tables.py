@@ -197,9 +197,10 @@ def test_pairwise_dxy_per_accessible_base(spark):
     assert P.pairwise_dxy(df, start=1, stop=10, accessible=mask).first()["dxy"] == 1 / 6
 
 
-def test_roh_mhmm_does_not_ignore_p_accessible(spark):
+def test_roh_mhmm_refuses_a_share_without_intervals(spark):
+    """The share of accessible bases follows from the intervals; given alone it is refused, not ignored."""
     from varispark.operators import runs as R
 
     df = spark.createDataFrame([(1, [[0, 0]])], "pos long, gt array<array<int>>")
-    with pytest.raises(NotImplementedError):
+    with pytest.raises(TypeError):
         R.roh_mhmm(df, 10, p_accessible=0.9)
