@@ -48,7 +48,7 @@ END_ID = 2
 GROUP_DOCS = 512
 GROUP_BYTES = 2 << 20
 #: Remembered chunks of text in each of two generations; the memory of a worker is bounded by it.
-_REMEMBERED = 500_000
+_REMEMBERED = 700_000
 #: Characters of a remembered chunk, at most.
 _LONGEST = 64
 #: Characters whose lower case or composition could depend on the Unicode version.
