@@ -11,7 +11,10 @@ constant number of times, so a pre-token of a megabyte takes linear time.
 Common pre-tokens are remembered, in bounded memory.
 
 Edge cases: null and empty texts have no ids; special tokens aren't recognised; any text
-is covered, as the pattern matches every character; decoding gives the text's bytes.
+is covered, as the pattern matches every character; decoding gives the text's bytes; of
+equal ranks in a pre-token the leftmost merges first; long texts are encoded whole; repeated
+rows and rows without an id are encoded each; an empty table gives an empty result; other
+columns are not read, whatever they are called.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ passages cost one key a chunk. Nothing is capped.
 
 Edge cases: a null or empty text has no words; repeated rows of one id aren't smaller
 than each other, so they stay; a null id compares as the largest; texts may be of any
-length; an empty table gives an empty result.
+length; an empty table gives an empty result; other columns travel in ``rest``, so none
+clashes with those of the result.
 """
 
 from __future__ import annotations

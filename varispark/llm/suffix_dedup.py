@@ -23,7 +23,9 @@ occurs. Nothing is capped, and no group of copies meets in one task.
 
 Edge cases: null texts are empty; strings never cross documents; repeated rows are
 separate documents, hence copies; removing may split a UTF-8 character, so the kept
-bytes are binary; an empty table gives an empty result.
+bytes are binary; a long text is a chunk of its own; a null id stays null; an empty table
+gives an empty result; other columns travel in ``rest``, so none clashes with those of the
+result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ The statistics are computed once for each text and written as a narrow table; wh
 sees is one row a vote pattern, at most 3 ** rules of them whatever the input's size.
 
 Edge cases: a null or empty text has no words and fails the base rule; long texts are
-read whole; repeated rows are rated alike; an empty table gives an empty result.
+read whole; repeated rows are rated alike and each counts in training; a null id stays
+null; an empty table gives an empty result; other columns are not read, whatever they are
+called.
 """
 
 from __future__ import annotations
