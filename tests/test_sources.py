@@ -83,3 +83,32 @@ def test_stream(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(tuple, ingest.windowed_counts(got, 15).collect())) == [("1", 0, 1), ("1", 1, 1), ("2", 0, 1)]
     assert got.agg(F.count("*")).first()[0] == 3
+
+
+def test_cached_results(spark, tmp_path):
+    from varispark.sources.cache import cached
+
+    calls = []
+
+    @cached(str(tmp_path))
+    def numbers(spark, n, step=1):
+        calls.append(n)
+        return spark.range(0, n, step)
+
+    assert [numbers(spark, 6, step=2).count(), numbers(spark, 6, step=2).count(), numbers(spark, 4).count()] == [3, 3, 4]
+    assert calls == [6, 4]
+
+
+def test_set_index(spark):
+    import pytest
+
+    from varispark.operators import index
+
+    make = lambda rows: spark.createDataFrame([(v, *r) for v, r in enumerate(rows)], "vidx long, chrom string, pos long")
+    good = make([("2", 5), ("2", 9), ("1", 1), ("1", 1), ("1", 4)])
+    assert [tuple(r["index"]) for r in index.set_index(good, "chrom", "pos").orderBy("vidx").collect()][2] == ("1", 1)
+    for bad, kw in ((make([("1", 5), ("1", 4)]), {}), (make([("1", 5), ("2", 4), ("1", 9)]), {}), (good, {"unique": True})):
+        with pytest.raises(ValueError):
+            index.set_index(bad, "chrom", "pos", **kw)
+    with pytest.raises(ValueError):
+        index.set_index(good, "pos")

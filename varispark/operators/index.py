@@ -23,6 +23,31 @@ def is_unique(df: DataFrame, *keys: str) -> bool:
     return df.groupBy(*keys).count().where("count > 1").isEmpty()
 
 
+def set_index(df: DataFrame, *keys: str, unique: bool = False, vidx: str = "vidx") -> DataFrame:
+    """``df`` with ``index``, a struct of the keys by which rows are looked up; ValueError if it falls along vidx, or repeats where it must not.
+
+    With two keys, such as chromosome and position, the first one need only come in runs.
+    """
+    out = df.withColumn("index", F.struct(*keys))
+    if len(keys) == 1:
+        if not is_sorted(df, keys[0], vidx):
+            raise ValueError(f"{keys[0]} is not sorted")
+    else:
+        first, rest = keys[0], F.struct(*keys[1:])
+        here = df.select(F.col(vidx).alias("_v"), F.col(first).alias("_a"), rest.alias("_r"))
+        after = here.select((F.col("_v") - 1).alias("_v"), F.col("_a").alias("_b"), F.col("_r").alias("_s"))
+        near = here.join(after, "_v")
+        if not near.where((F.col("_a") == F.col("_b")) & (F.col("_r") > F.col("_s"))).isEmpty():
+            raise ValueError(f"{', '.join(keys[1:])} not sorted within {first}")
+        # a value of the first key that begins twice is not one run; one row a run
+        starts = near.where(F.col("_a") != F.col("_b")).select(F.col("_b").alias("k")).unionByName(here.where(F.col("_v") == 0).select(F.col("_a").alias("k")))
+        if not is_unique(starts, "k"):
+            raise ValueError(f"values of {first} come apart")
+    if unique and not is_unique(df, *keys):
+        raise ValueError("index is not unique")
+    return out
+
+
 def locate_key(df: DataFrame, **keys) -> DataFrame:
     """Rows with these key values, e.g. chrom and pos; KeyError if there are none."""
     out = df
