@@ -101,3 +101,26 @@ def test_pieces_against_the_tokenizer(spark):
             at += p.length
         assert at == 4096 or at & (at - 1) == 0 and at <= 4096
     assert pack(spark.createDataFrame([], SCHEMA), PATH).collect() == []
+
+
+def test_workers_forget_words_when_groups_are_packed(spark):
+    rows = [(i, f"word{i} " * 5 + f"other{i}") for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+    assert pack(docs, PATH, group_docs=1).count() >= 64
+
+    def remembered(batches):
+        import os
+        import time
+
+        import pyarrow as pa
+
+        from varispark.llm import packing
+
+        time.sleep(0.2)  # so that every worker gets a task
+        list(batches)
+        n = sum(len(e.known) + len(e.older) for e in packing._ENCODERS.values())
+        yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([len(packing._ENCODERS)]), pa.array([n])], ["pid", "encoders", "n"])
+
+    got = spark.range(64, numPartitions=32).mapInArrow(remembered, "pid bigint, encoders bigint, n bigint").collect()
+    assert max(r.encoders for r in got) > 0
+    assert max(r.n for r in got) == 0

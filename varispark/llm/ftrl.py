@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varispark.llm.chunks import Chunk, mix, prefix_hash, span_hash, window_hash
-from varispark.session import ship_package
+from varispark.session import release_memory, ship_package
 
 #: A function from a chunk to (document, feature hash) pairs; repeated pairs count once.
 Features = Callable[[Chunk], tuple[np.ndarray, np.ndarray]]
@@ -169,6 +169,7 @@ class FtrlModel:
         @F.arrow_udf("double")
         def run(texts: pa.Array) -> pa.Array:
             parts = [model.score_chunk(c) for c in text_chunks(texts)]
+            release_memory()
             return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
         return run(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
@@ -203,6 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, pa
         for b in batches:
             got = list(slots(b.column("text"), features, params.bits))
             yield pa.RecordBatch.from_arrays([b.column("label"), b.column("turn"), pa.array([x.tobytes() for x in got], pa.binary())], ["label", "turn", "slots"])
+        release_memory()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = Ftrl(params)

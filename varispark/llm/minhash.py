@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from varispark.llm.chunks import Chunk, Chunks, mix, pack_chunks, read_chunks, split_words, window_hash, with_replies
 from varispark.llm.components import connected_components
-from varispark.session import materialise
+from varispark.session import materialise, release_memory
 
 PERMUTATIONS = 80
 ROWS = 5
@@ -169,6 +169,7 @@ class NearDuplicates:
             for b in batches:
                 for c in read_chunks(b):
                     yield _signatures(c, words)
+            release_memory()
 
         self.signatures = materialise(self.chunks.table.mapInArrow(sign, _SIGNATURE_SCHEMA))
         with_set = self.signatures.where("n_shingles > 0 and doc_id is not null")
