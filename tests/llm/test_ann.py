@@ -79,6 +79,16 @@ def test_recall_of_the_registered_query(spark):
     assert got.keys() == want.keys() and recall >= 0.9, recall
 
 
+def test_all_nearest_of_other_rows(spark):
+    """Lengths of every order and near copies: each query has its very nearest, whatever lists and codes say."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(1500, 16)) * np.exp(1.5 * r.normal(size=(1500, 1)))
+    x[700:1100] = x[5] + 1e-4 * r.normal(size=(400, 16))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x.astype(np.float32))]
+    assert run(spark, rows, IvfParams(k=20)) == brute(rows, 20)
+    assert run(spark, rows, IvfParams(k=20, probe_share=0.05, rerank=20)) == brute(rows, 20)
+
+
 def test_few_and_none(spark):
     rows = data(6)
     assert run(spark, rows, IvfParams()) == brute(rows, 20)

@@ -7,6 +7,12 @@ have the largest inner product with it; in a list, asymmetric distance tables (q
 against codebooks) rank all codes, and the best are reranked with the original vectors
 in double precision.
 
+The result is exact. With each vector goes a bound on its distance from what its code
+stands for, so the table's value tells how large the inner product can be (Cauchy and
+Schwarz): whatever could still be among the nearest is scored with the original vectors.
+A second round visits every further list whose bound, by its farthest vector, reaches the
+score of the last one found.
+
 Small lists are put together, and all are dealt in blocks of some thousand vectors, their
 queries in blocks too; each pair of blocks is one group: a list that holds a third of all
 vectors, or is visited by a third of all queries, is spread like any other. What travels to executors or the
@@ -36,6 +42,8 @@ from varispark.session import materialise, ship_package
 
 MAX_LISTS = 4096
 BLOCK = 4096
+#: More than underflow in single precision takes from a product with a vector of length 1.
+_TINY = 1e-30
 
 
 @dataclass(frozen=True)
@@ -70,6 +78,18 @@ class IvfModel:
         rest = self.split(x - self.centroids[lists])
         return np.stack([_nearest(rest[:, i], self.books[i]) for i in range(rest.shape[1])], 1).astype(np.uint8)
 
+    def bounds(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """At most so far from its code, and from its centroid, lies each vector; rounding of single-precision products included."""
+        m, d = self.books.shape[0], self.dimension
+        centre = self.centroids[lists].astype(np.float64)
+        parts = self.books[np.arange(m), codes].astype(np.float64)
+        slack = 4 * (d + m) * float(np.finfo(np.float32).eps)
+        far = np.linalg.norm(x - centre, axis=1)
+        err = np.linalg.norm(x - centre - parts.reshape(len(x), -1)[:, :d], axis=1)
+        size = np.linalg.norm(centre, axis=1)
+        tables = np.linalg.norm(parts, axis=2).sum(1)
+        return (err + slack * (err + size + tables)) + _TINY, (far + slack * (far + size)) + _TINY
+
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = (centres * centres).sum(1) / 2
@@ -110,6 +130,13 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
+def _unit(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length 1, and their lengths."""
+    top = np.abs(y).max(1, keepdims=True)
+    length = np.linalg.norm(y / top, axis=1, keepdims=True)
+    return y / top / length, (top * length)[:, 0]
+
+
 def _matrix(column: pa.Array, d: int, kind=np.float32) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, d).astype(kind)
 
@@ -120,8 +147,9 @@ def search(vectors: DataFrame, is_query: Column, params: IvfParams = IvfParams()
     p = params
     rows = vectors.select(vectors[id_col].cast("bigint").alias("vec_id"), vectors[vector_col].alias("x"), is_query.alias("q")).where(F.col("vec_id").isNotNull())
     rows = rows.where(usable(F.col("x")))
-    most = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d, n_rows = (most["d"], most["count"]) if most else (0, 0)
+    top = F.max(F.array_max(F.transform("x", lambda c: F.abs(c.cast("double")))))
+    most = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("count"), top.alias("top")).orderBy(F.desc("count"), "d").first()
+    d, n_rows, top = (most["d"], most["count"], most["top"]) if most else (0, 0, 1.0)
     rows = rows.where(F.size("x") == d)
     sample = rows.select("x", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(p.sample_rows).select("x").toArrow().column("x").combine_chunks()
     if isinstance(sample, pa.ChunkedArray):
@@ -131,93 +159,157 @@ def search(vectors: DataFrame, is_query: Column, params: IvfParams = IvfParams()
         none = rows.where("false").select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
         return none
     kind = rows.schema["x"].dataType.simpleString()
-    model = fit(_matrix(sample, d), n_rows, p)
+    # the index holds components between -1 and 1
+    model = fit((_matrix(sample, d, np.float64) / top).astype(np.float32), n_rows, p)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 33
         for b in batches:
             row = np.arange(first, first + b.num_rows)
             first += b.num_rows
-            x = _matrix(b.column("x"), d)
-            at = model.assign(x)
-            codes = model.encode(x, at)
-            yield pa.RecordBatch.from_arrays([pa.array(row), b.column("vec_id"), b.column("x"), b.column("q"), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["row", "vec_id", "x", "q", "list", "code"])
+            x = _matrix(b.column("x"), d, np.float64) / top
+            at = model.assign(x.astype(np.float32))
+            codes = model.encode(x.astype(np.float32), at)
+            err, far = model.bounds(x, at, codes)
+            yield pa.RecordBatch.from_arrays([pa.array(row), b.column("vec_id"), b.column("x"), b.column("q"), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), pa.array(far)], ["row", "vec_id", "x", "q", "list", "code", "err", "far"])
 
-    indexed = materialise(rows.mapInArrow(index, f"row bigint, vec_id bigint, x {kind}, q boolean, list int, code binary"))
+    indexed = materialise(rows.mapInArrow(index, f"row bigint, vec_id bigint, x {kind}, q boolean, list int, code binary, err double, far double"))
     lists = len(model.centroids)
-    sizes = np.zeros(lists, np.int64)
-    for r in indexed.groupBy("list").count().collect():  # at most MAX_LISTS rows
-        sizes[r["list"]] = r["count"]
+    sizes, radius = np.zeros(lists, np.int64), np.zeros(lists)
+    for r in indexed.groupBy("list").agg(F.count("*").alias("count"), F.max("far").alias("far")).collect():  # at most MAX_LISTS rows
+        sizes[r["list"]], radius[r["list"]] = r["count"], r["far"]
     # neighbouring lists together, up to a block
     group_of = np.cumsum(sizes) // BLOCK
     groups = int(group_of[-1]) + 1
     held = np.bincount(group_of, sizes, groups)
     probes = min(lists, int(np.ceil(p.probe_share * lists)))
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                order = np.argsort(-(_matrix(part.column("x"), d) @ model.centroids.T), 1, kind="stable")
-                # further lists, where the first hold too few vectors
-                n = np.maximum(probes, (np.cumsum(sizes[order], 1) < 4 * (p.k + 1)).sum(1) + 1).clip(max=lists)
-                visited = np.zeros(order.shape, bool)
-                np.put_along_axis(visited, order, np.arange(lists) < n[:, None], 1)
-                visited &= sizes > 0
-                to = np.zeros((len(n), groups), bool)
-                for g in range(groups):
-                    to[:, g] = visited[:, group_of == g].any(1)
-                q, g = np.nonzero(to)
-                rows = pa.array(q)
-                bits = np.packbits(visited, axis=1)
-                yield pa.RecordBatch.from_arrays([part.column("row").take(rows), part.column("vec_id").take(rows), part.column("x").take(rows), pa.array([bits[i].tobytes() for i in q], pa.binary()), pa.array(g, pa.int32())], ["query_row", "query_id", "y", "lists", "part"])
-
-    visits = materialise(indexed.where("q").select("row", "vec_id", "x").mapInArrow(probe, f"query_row bigint, query_id bigint, y {kind}, lists binary, part int"))
-    visitors = np.zeros(groups, np.int64)
-    for r in visits.groupBy("part").count().collect():  # at most MAX_LISTS rows
-        visitors[r["part"]] = r["count"]
-    tiles = [(g, int(-(-h // BLOCK)), int(-(-v // BLOCK))) for g, (h, v) in enumerate(zip(held, visitors, strict=True)) if h and v]
-    by_part = F.broadcast(indexed.sparkSession.createDataFrame(tiles, "part int, blocks int, turns int"))
-    of_list = F.broadcast(indexed.sparkSession.createDataFrame([(i, int(g)) for i, g in enumerate(group_of)], "list int, part int"))
-    left = indexed.select("row", "vec_id", "x", "code", "list").join(of_list, "list").join(by_part, "part")
-    left = left.select("row", "vec_id", "x", "code", "list", "part", F.pmod(F.xxhash64("row"), "blocks").cast("int").alias("block"), F.explode(F.expr("sequence(0, turns - 1)")).alias("turn"))
-    right = visits.join(by_part, "part")
-    right = right.select("query_row", "query_id", "y", "lists", "part", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.pmod(F.xxhash64("query_row"), "turns").cast("int").alias("turn"))
+    def probe(second: bool):
+        """Which lists each query visits: the first, or all others that can hold one of its nearest."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    part = b.slice(at, 1024)
+                    unit, length = _unit(_matrix(part.column("x"), d, np.float64))
+                    near = unit.astype(np.float32) @ model.centroids.T
+                    order = np.argsort(-near, 1, kind="stable")
+                    # further lists, where the first hold too few vectors
+                    n = np.maximum(probes, (np.cumsum(sizes[order], 1) < 4 * (p.k + 1)).sum(1) + 1).clip(max=lists)
+                    visited = np.zeros(order.shape, bool)
+                    np.put_along_axis(visited, order, np.arange(lists) < n[:, None], 1)
+                    if second:
+                        least = part.column("least").to_numpy() / length / top
+                        visited = ~visited & (near + radius >= least[:, None] - 1e-12 * np.abs(least[:, None]))
+                    visited &= sizes > 0
+                    to = np.zeros((len(n), groups), bool)
+                    for g in range(groups):
+                        to[:, g] = visited[:, group_of == g].any(1)
+                    q, g = np.nonzero(to)
+                    rows = pa.array(q)
+                    bits = np.packbits(visited, axis=1)
+                    yield pa.RecordBatch.from_arrays([part.column("row").take(rows), part.column("vec_id").take(rows), part.column("x").take(rows), pa.array([bits[i].tobytes() for i in q], pa.binary()), part.column("least").take(rows), pa.array(g, pa.int32())], ["query_row", "query_id", "y", "lists", "least", "part"])
+
+        return run
 
     def rank(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return _found([], [], [], [])
         a = a.sort_by([("vec_id", "ascending"), ("row", "ascending")])
-        own, ids, of = (a.column(c).to_numpy() for c in ("row", "vec_id", "list"))
         x = _matrix(a.column("x").combine_chunks(), d, np.float64)
+        # of equal vectors the first k are enough, and one more for a query among them
+        seen: dict[bytes, int] = {}
+        use = np.zeros(len(x), bool)
+        for i, v in enumerate(x):
+            key = v.tobytes()
+            seen[key] = seen.get(key, 0) + 1
+            use[i] = seen[key] <= p.k + 1
+        a, x = a.filter(pa.array(use)), x[use]
+        own, ids, of, err = (a.column(c).to_numpy() for c in ("row", "vec_id", "list", "err"))
         codes = np.frombuffer(b"".join(a.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
         queries, query_rows = b.column("query_id").to_numpy(), b.column("query_row").to_numpy()
         y = _matrix(b.column("y").combine_chunks(), d, np.float64)
         visited = np.unpackbits(np.frombuffer(b"".join(b.column("lists").to_pylist()), np.uint8).reshape(len(queries), -1), axis=1, count=lists).astype(bool)
+        known = b.column("least").to_numpy()
+        sizes_x = np.linalg.norm(x, axis=1)
         out = []
         for at in range(0, len(queries), 256):
             q, qid, qrow = y[at : at + 256], queries[at : at + 256], query_rows[at : at + 256]
-            tables = np.einsum("qmd,mcd->mqc", model.split(q.astype(np.float32)), model.books)
-            guess = (q.astype(np.float32) @ model.centroids.T)[:, of]
+            unit, length = _unit(q)
+            single = unit.astype(np.float32)
+            tables = np.einsum("qmd,mcd->mqc", model.split(single), model.books)
+            guess = (single @ model.centroids.T)[:, of]
             for m in range(codes.shape[1]):
                 guess += tables[m][:, codes[:, m]]
-            guess[~visited[at : at + 256][:, of]] = -np.inf
+            hidden = ~visited[at : at + 256][:, of] | (own == qrow[:, None])
+            guess[hidden] = -np.inf
             best = _largest(guess, p.rerank)
-            score = np.zeros(best.shape)
-            for i in range(d):  # in one order, so equal vectors have equal scores
-                score += q[:, i, None] * x[best, i]
-            score[(own[best] == qrow[:, None]) | np.isneginf(np.take_along_axis(guess, best, 1))] = -np.inf
-            order = np.lexsort((ids[best], -score))[:, : p.k]
-            row = np.arange(len(q))[:, None]
-            s, v = score[row, order], ids[best][row, order]
-            on = s > -np.inf
-            out.append((np.repeat(qrow, on.sum(1)), np.repeat(qid, on.sum(1)), v[on], s[on]))
+            score = _exact(q, x, np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()).reshape(best.shape)
+            score[np.isneginf(np.take_along_axis(guess, best, 1))] = -np.inf
+            least = known[at : at + 256]
+            if best.shape[1] >= p.k:
+                least = np.maximum(least, np.partition(score, -p.k, 1)[:, -p.k])
+            # whatever can reach the last one so far, by its code's bound and then by products in any order of summation
+            bar = least / length / top
+            can = ~hidden & (guess + err >= (bar - 1e-12 * np.abs(bar))[:, None])
+            some = np.flatnonzero(can.any(0))
+            about = q @ x[some].T
+            off = 4 * d * np.finfo(float).eps * length[:, None] * sizes_x[some]
+            row, col = np.nonzero(can[:, some] & (about + off >= least[:, None]))
+            if len(some) > p.k:
+                low = np.where(can[:, some], about - off, -np.inf)
+                last = np.partition(low, -p.k, 1)[:, -p.k]
+                row, col = np.nonzero(can[:, some] & (about + off >= np.maximum(least, last)[:, None]))
+            col = some[col]
+            s = _exact(q, x, row, col)
+            order = np.lexsort((ids[col], -s, row))
+            row, col, s = row[order], col[order], s[order]
+            on = np.arange(len(row)) - np.searchsorted(row, row) < p.k
+            row, col, s = row[on], col[on], s[on]
+            out.append((qrow[row], qid[row], ids[col], s))
         return _found(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
-    keys = ["part", "block", "turn"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, result)
+    by_part = ["part", "block", "turn"]
+    of_list = F.broadcast(indexed.sparkSession.createDataFrame([(i, int(g)) for i, g in enumerate(group_of)], "list int, part int"))
     nearest = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+
+    def visit(queries: DataFrame, second: bool) -> DataFrame | None:
+        visits = materialise(queries.mapInArrow(probe(second), f"query_row bigint, query_id bigint, y {kind}, lists binary, least double, part int"))
+        visitors = np.zeros(groups, np.int64)
+        for r in visits.groupBy("part").count().collect():  # at most MAX_LISTS rows
+            visitors[r["part"]] = r["count"]
+        tiles = [(g, int(-(-h // BLOCK)), int(-(-v // BLOCK))) for g, (h, v) in enumerate(zip(held, visitors, strict=True)) if h and v]
+        if not tiles:
+            return None
+        tiles = F.broadcast(indexed.sparkSession.createDataFrame(tiles, "part int, blocks int, turns int"))
+        left = indexed.select("row", "vec_id", "x", "code", "list", "err").join(of_list, "list").join(tiles, "part")
+        left = left.select("row", "vec_id", "x", "code", "list", "err", "part", F.pmod(F.xxhash64("row"), "blocks").cast("int").alias("block"), F.explode(F.expr("sequence(0, turns - 1)")).alias("turn"))
+        right = visits.join(tiles, "part")
+        right = right.select("query_row", "query_id", "y", "lists", "least", "part", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.pmod(F.xxhash64("query_row"), "turns").cast("int").alias("turn"))
+        return left.groupBy(*by_part).cogroup(right.groupBy(*by_part)).applyInArrow(rank, result)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= p.k)
+
+    queries = indexed.where("q").select("row", "vec_id", "x")
+    none = F.lit(float("-inf"))
+    found = visit(queries.withColumn("least", none), False)
+    if found is None:
+        found = indexed.sparkSession.createDataFrame([], result)
+    found = materialise(ranked(found).drop("rank"))
+    last = found.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("score")).where(F.col("n") == p.k)
+    further = visit(queries.join(last, queries["row"] == last["query_row"], "left").select("row", "vec_id", "x", F.coalesce("score", none).alias("least")), True)
+    return ranked(found if further is None else found.unionByName(further)).select("query_id", "rank", "vec_id", "score")
+
+
+def _exact(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Products of rows of ``q`` and ``x``, summed in one order, so equal vectors have equal scores."""
+    out = np.zeros(len(row))
+    for at in range(0, len(row), 1 << 16):
+        i, j = q[row[at : at + (1 << 16)]], x[col[at : at + (1 << 16)]]
+        for c in range(q.shape[1]):
+            out[at : at + (1 << 16)] += i[:, c] * j[:, c]
+    return out
 
 
 def _largest(guess: np.ndarray, k: int) -> np.ndarray:
