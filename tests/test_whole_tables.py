@@ -163,6 +163,21 @@ def test_windows_keys_and_features_reach_the_last_position(spark, sf):
     assert 5999 - 61 < got <= 5999
 
 
+def test_long_windows_are_made_of_few_blocks(spark):
+    """Blocks give what every row with every window gives; rows of the join follow the logarithm of a window's length."""
+    from pyspark.sql import functions as F
+
+    from varispark.operators import windows as W
+
+    df = spark.range(-300, 9000, 3).select(F.col("id").alias("pos"), (F.col("id") % 11).alias("v")).union(spark.sql("select null pos, 1L v"))
+    bounds = [(0, -400, 20_000), (1, 5, 5), (2, 6, 6), (3, -7, 64), (4, 100, 4195), (5, 9, 3), (6, 9001, 9700), (7, None, 4)]
+    windows = spark.createDataFrame([*bounds, *[(10 + i, i * 37 - 300, i * 41 - 290) for i in range(200)]], "w long, window_start long, window_stop long")
+    how = {"s": F.sum("v"), "top": F.max("v")}
+    want, got = (W.windowed_given(df, how, windows, bin_size=64, merge=m) for m in (None, {"s": F.sum, "top": F.max}))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "BroadcastHashJoin" not in W.windowed_given(df, how, windows)._jdf.queryExecution().sparkPlan().toString().split("Generate")[0]
+
+
 def test_windows_and_features_at_sf001(spark, positions):
     got = {x["w"]: (x["window_start"], x["window_stop"], x["n"]) for x in QUERIES["windowed_given"](spark, SF01).collect()}
     want = {i: (i * 37 + 1, i * 40 + 5) for i in range((LAST - 1) // 37 + 1)}

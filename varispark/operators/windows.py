@@ -10,7 +10,7 @@ aggregate is one shuffle with map-side combine.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,15 +78,51 @@ def windowed_count(df: DataFrame, size: int, start: int | None = None, stop: int
     return windowed(df, {}, size, start, stop, step, pos)
 
 
-def windowed_given(df: DataFrame, aggregates: Mapping[str, Column], windows: DataFrame, pos: str = "pos", bin_size: int = 100_000) -> DataFrame:
-    """Aggregates of arbitrary inclusive windows (w, window_start, window_stop), by bins of positions."""
-    bins = windows.withColumn("bin", F.explode(F.sequence(F.floor(F.col("window_start") / bin_size), F.floor(F.col("window_stop") / bin_size))))
-    rows = df.withColumn("bin", F.floor(F.col(pos) / bin_size))
-    hit = rows.join(bins, "bin").where(F.col(pos).between(F.col("window_start"), F.col("window_stop")))
-    got = hit.groupBy("w").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in aggregates.items()])
+def windowed_given(df: DataFrame, aggregates: Mapping[str, Column], windows: DataFrame, pos: str = "pos", bin_size: int = 100_000, merge: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Aggregates of arbitrary inclusive windows (w, window_start, window_stop), by bins of positions.
+
+    Without ``merge`` every row meets every window that holds it. ``merge`` tells how to
+    put partial results of each aggregate together (``F.sum`` for sums and counts): a window
+    is then made of some ready blocks of ``_FAN ** level`` positions, a number that grows
+    with the logarithm of its length.
+    """
+    if merge is not None:
+        got = _by_blocks(df, aggregates, windows, pos, merge)
+    else:
+        bins = windows.withColumn("bin", F.explode(F.sequence(F.floor(F.col("window_start") / bin_size), F.floor(F.col("window_stop") / bin_size))))
+        rows = df.withColumn("bin", F.floor(F.col(pos) / bin_size))
+        # the planner knows the size of the windows only, so it would send the bins through the driver
+        hit = rows.join(bins.hint("merge"), "bin").where(F.col(pos).between(F.col("window_start"), F.col("window_stop")))
+        got = hit.groupBy("w").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in aggregates.items()])
     return windows.join(got, "w", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+#: Blocks of a level that make one of the next; a power of two.
+_FAN = 8
+_BITS = _FAN.bit_length() - 1
+
+
+def _by_blocks(df: DataFrame, aggregates: Mapping[str, Column], windows: DataFrame, pos: str, merge: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    length = windows.agg(F.max(F.col("window_stop") - F.col("window_start"))).first()[0]
+    top = max(0, int(length or 0) + 1).bit_length() // _BITS
+    rows = df.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("_block", F.expr(f"shiftright(cast(`{pos}` as bigint), {_BITS} * _level)"))
+    blocks = rows.groupBy("_level", "_block").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in aggregates.items()])
+    first, last = (F.col(c).cast("bigint") for c in ("window_start", "window_stop"))
+    nothing = F.array().cast("array<bigint>")
+    between = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(nothing)
+    parts = []
+    for level in range(top + 1):
+        # whole blocks from low to high, without those that a block of the next level holds
+        (low, high), (up_low, up_high) = ((F.shiftright(first + ((1 << s) - 1), s), F.shiftright(last + 1, s) - 1) for s in (_BITS * level, _BITS * (level + 1)))
+        at = between(low, high)
+        if level < top:
+            at = F.when(up_low <= up_high, F.concat(between(low, up_low * _FAN - 1), between((up_high + 1) * _FAN, high))).otherwise(at)
+        parts.append(at)
+    cover = windows.select("w", F.posexplode(F.array(*parts)).alias("_level", "_at")).select("w", "_level", F.explode("_at").alias("_block"))
+    hit = blocks.join(cover.hint("merge"), ["_level", "_block"])
+    return hit.groupBy("w").agg(F.sum("n").alias("n"), *[merge[k](F.col(k)).alias(k) for k in aggregates])
+
+
 def moving(df: DataFrame, aggregates: Mapping[str, Column], size: int, start: int = 0, stop: int | None = None, step: int | None = None, vidx: str = "vidx") -> DataFrame:
     """Aggregates of each full index window: w and the aggregates."""
     step = step or size

@@ -312,7 +312,7 @@ def _until_last(df: DataFrame, every: int, first: int = 0, least: int = 0) -> Da
 @on_calls("windowed_given", "select gw.w, window_start, window_stop, count(vidx) n, sum(a1)::bigint s from gw left join v on pos between window_start and window_stop group by all", "gw as (select i w, i * 37 + 1 window_start, i * 37 + 5 + i * 3 window_stop from (select unnest(range(0, greatest(20, (max(pos) - 1) // 37 + 1))) i from v))")
 def _(df):
     gw = _until_last(df, 37, 1, least=20).select(F.col("id").alias("w"), (F.col("id") * 37 + 1).alias("window_start"), (F.col("id") * 40 + 5).alias("window_stop"))
-    return W.windowed_given(df, {"s": F.sum(F.col("ac")[1])}, gw, bin_size=64)
+    return W.windowed_given(df, {"s": F.sum(F.col("ac")[1])}, gw, bin_size=64, merge={"s": F.sum})
 
 
 # ---------------------------------------------------------------- diversity
