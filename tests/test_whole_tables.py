@@ -89,6 +89,18 @@ def test_all_r_over_many_blocks(spark, sf, monkeypatch):
     assert all((got[k] is None) == (want[k] is None) and (got[k] is None or abs(got[k] - want[k]) < 1e-12) for k in got)
 
 
+def test_r_is_rounded_in_blocks_as_spark_rounds(spark):
+    """A row for each variant and block leaves the kernel, not one a pair; ties and signs are rounded as ``F.round`` does."""
+    from pyspark.sql import functions as F
+
+    from varispark.operators import pairs as P
+
+    x = np.r_[[1 / 256, -1 / 256, 0.0, -1e-9, 1.0, 3 / 7, 0.12345675, -0.12345675, 0.00000015, 0.99999995], np.random.default_rng(1).uniform(-1, 1, 2000), np.random.default_rng(2).integers(-(10**7), 10**7, 2000) / 10**7 + 5e-8]
+    want = [r["y"] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 7).alias("y")).collect()]
+    got = P._rounded(x, 7).tolist()
+    assert list(map(repr, got)) == list(map(repr, want))
+
+
 def test_haplotype_distinct_has_all_variants(spark, sf):
     groups: dict[bytes, int] = {}
     for h in alleles().astype("int8").T:
