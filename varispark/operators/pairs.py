@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from varispark.operators import windows as W
 from varispark.operators.diversity import mask_inaccessible
+from varispark.operators.ordered import ordered, pieces
 from varispark.session import materialise, ship_package
 
 
@@ -149,27 +150,63 @@ def windowed_r_squared(df: DataFrame, size: int, gn: str = "gn", start=None, sto
 def locate_unlinked(df: DataFrame, size: int = 100, step: int = 20, threshold: float = 0.1, gn: str = "gn", by: str | None = None) -> DataFrame:
     """Greedy LD pruning in overlapping windows: (vidx, keep), sequential in each group of ``by``.
 
-    The rows of a group (a chromosome) pass through one task in order.
+    The rows of a group (a chromosome) pass through one task in order; it holds a batch
+    of them and the last ``size``. A row is compared once, with the kept rows before it in
+    the first window that holds it.
     """
 
-    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vidx")
-        x = np.stack(pdf["gn"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, 0))
-        keep = np.ones(len(pdf), bool)
-        for a in range(0, len(pdf), step):
-            b = min(a + size, len(pdf))
-            fresh = a if a == 0 else min(a + size - step, len(pdf))
-            for i in range(a, b):
-                if keep[i]:
-                    later = [j for j in range(max(i + 1, fresh), b) if keep[j]]
-                    for j in later:
-                        r = _r(x[i], x[j])
-                        if r == r and r * r > threshold:
-                            keep[j] = False
-        return pd.DataFrame({"vidx": pdf["vidx"], "keep": keep})
-
-    key = F.lit(0) if by is None else F.col(by)
-    return df.select(key.alias("_g"), "vidx", F.col(gn).alias("gn")).groupBy("_g").applyInPandas(prune, "vidx bigint, keep boolean")
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail, kept, n = np.zeros((0, 0)), np.zeros(0, bool), 0
+        for fresh, batch in pieces(batches):
+            if fresh:
+                tail, kept, n = np.zeros((0, 0)), np.zeros(0, bool), 0
+            x = _call_matrix(batch.column("gn"))
+            width = max(x.shape[1], tail.shape[1])
+            tail, x = (np.pad(m, ((0, 0), (0, width - m.shape[1])), constant_values=-1.0) for m in (tail, x))
+            out = []
+            for at in range(0, len(x), _STRIP):
+                new = x[at : at + _STRIP]
+                j = n + np.arange(len(new))
+                if step > size:
+                    low = np.where(j % step < size, j - j % step, j)
+                else:
+                    low = np.where(j < size, 0, ((j - size) // step + 1) * step)
+                before = len(tail)
+                tail = np.concatenate([tail, new])
+                i = n - before + np.arange(len(tail))
+                linked = _linked(new, tail, (i >= low[:, None]) & (i < j[:, None]), threshold)
+                on = int.from_bytes(np.packbits(kept, bitorder="little").tobytes(), "little")
+                keep = []
+                for k, bits in enumerate(np.packbits(linked, axis=1, bitorder="little")):
+                    keep.append(not int.from_bytes(bits.tobytes(), "little") & on)
+                    on |= keep[-1] << (before + k)
+                out += keep
+                kept = np.concatenate([kept, np.array(keep, bool)])
+                n += len(new)
+                tail, kept = tail[max(0, len(tail) - size + 1) :], kept[max(0, len(kept) - size + 1) :]
+            yield pa.RecordBatch.from_arrays([batch.column("vidx"), pa.array(out, pa.bool_())], ["vidx", "keep"])
+
+    return ordered(df, by, F.col(gn).cast("array<double>").alias("gn")).mapInArrow(prune, "vidx bigint, keep boolean")
+
+
+def _linked(y: np.ndarray, x: np.ndarray, asked: np.ndarray, threshold: float) -> np.ndarray:
+    """[j, i], where asked: whether r squared of rows j of ``y`` and i of ``x`` is above the threshold, as ``_r`` tells."""
+    (a, p), (b, q) = ((np.where(m >= 0, m, 0.0), (m >= 0).astype(float)) for m in (y, x))
+    c = p @ q.T
+    sa, sb, aa, bb = a @ q.T, p @ b.T, (a * a) @ q.T, p @ (b * b).T
+    va, vb = c * aa - sa * sa, c * bb - sb * sb
+    cov, spread = c * (a @ b.T) - sa * sb, va * vb
+    defined = (va > 0) & (vb > 0)
+    r2 = np.divide(cov * cov, spread, where=defined, out=np.zeros_like(cov))
+    out = asked & (r2 > threshold)
+    # sums of whole numbers are exact; where rounding could decide, the pair is computed by itself
+    doubt = np.abs(r2 - threshold) < 1e-9
+    if (a != np.rint(a)).any() or (b != np.rint(b)).any():
+        doubt |= (va <= 1e-6 * c * aa) | (vb <= 1e-6 * c * bb) | (np.abs(r2 - threshold) < 1e-6)
+    for j, i in zip(*np.nonzero(asked & doubt), strict=True):
+        r = _r(x[i], y[j])
+        out[j, i] = r == r and r * r > threshold
+    return out
 
 
 def _r(x: np.ndarray, y: np.ndarray) -> float:
