@@ -101,6 +101,39 @@ def test_r_is_rounded_in_blocks_as_spark_rounds(spark):
     assert list(map(repr, got)) == list(map(repr, want))
 
 
+def test_sequential_kernels_take_rows_by_batches(spark):
+    """Rows of a group come in order and in many batches, and no worker sees them all at once."""
+    from varispark.operators import pairs as P
+    from varispark.operators import pedigree as M
+
+    r = np.random.default_rng(4)
+    gn = r.integers(-1, 3, (400, 6))
+    rows = [(v, "ab"[v % 2], gn[v].tolist(), [[[0, 1], [1, 1]], [[0, 1], [0, 1]]][v % 2] + r.integers(-1, 2, (5, 2)).tolist()) for v in r.permutation(400).tolist()]
+    df = spark.createDataFrame(rows, "vidx bigint, chrom string, gn array<int>, gt array<array<tinyint>>")
+
+    def keep(rows):
+        keep = [True] * len(rows)
+        for a in range(0, len(rows), 10):
+            for i in range(a, min(a + 30, len(rows))):
+                for j in range(max(i + 1, a + 20 if a else 0), min(a + 30, len(rows))):
+                    v = P._r(rows[i].astype(float), rows[j].astype(float)) if keep[i] and keep[j] else 0.0
+                    keep[j] = keep[j] and not v * v > 0.5
+        return keep
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    once = [q.orderBy("vidx").collect() for q in (P.locate_unlinked(df, 30, 10, 0.5), M.phase_by_transmission(df, 4), M.phase_by_transmission(df, 4, by="chrom"))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        many = [q.orderBy("vidx").collect() for q in (P.locate_unlinked(df, 30, 10, 0.5), M.phase_by_transmission(df, 4), M.phase_by_transmission(df, 4, by="chrom"))]
+        by = {x["vidx"]: x["keep"] for x in P.locate_unlinked(df, 30, 10, 0.5, by="chrom").collect()}
+        plans = [q._jdf.queryExecution().toString() for q in (P.locate_unlinked(df), M.phase_by_transmission(df, 4))]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert once == many and [x["keep"] for x in many[0]] == keep(gn)
+    assert [by[v] for v in range(0, 400, 2)] == keep(gn[::2]) and [by[v] for v in range(1, 400, 2)] == keep(gn[1::2])
+    assert all("FlatMapGroupsInPandas" not in p for p in plans)
+
+
 def test_haplotype_distinct_has_all_variants(spark, sf):
     groups: dict[bytes, int] = {}
     for h in alleles().astype("int8").T:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varispark.operators.ordered import ordered, pieces
+
 #: Codes of inheritance states.
 UNDETERMINED, PARENT1, PARENT2, NONSEG_REF, NONSEG_ALT, NONPARENTAL, PARENT_MISSING, MISSING = range(8)
 
@@ -78,42 +83,65 @@ def phase_progeny_by_transmission(df: DataFrame, gt: str = "gt") -> DataFrame:
 def phase_parents_by_transmission(df: DataFrame, window_size: int, gt: str = "gt", by: str | None = None) -> DataFrame:
     """Phase parents by linkage with up to ``window_size`` earlier informative variants.
 
-    Sequential along vidx in each group of ``by`` (a chromosome), one task a group.
+    Sequential along vidx in each group of ``by`` (a chromosome), one task a group, which
+    holds a batch of rows and, of each informative variant in reach, two sets of progeny:
+    those that got the parent's first allele, and its second one.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vidx").reset_index(drop=True)
-        g = np.array([[list(c) for c in row] for row in pdf["gt"]], np.int8) if len(pdf) else np.zeros((0, 2, 2), np.int8)
-        phased = np.array([list(r) for r in pdf["is_phased"]], bool) if len(pdf) else np.zeros((0, 2), bool)
-        n_phased = phased[:, 2:].sum(1)
-        for parent in range(2):
-            informative: list[int] = []
-            for i in range(len(g)):
-                a, b = g[i, parent]
-                if n_phased[i] and not phased[i, parent] and a >= 0 and b >= 0:
-                    if a == b:
-                        phased[i, parent] = True
-                    else:
+    def sets(on: np.ndarray) -> list[int]:
+        return [int.from_bytes(bits.tobytes(), "little") for bits in np.packbits(on, axis=1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach, seen = [deque(maxlen=window_size) for _ in range(2)], [False, False]
+        for fresh, batch in pieces(batches):
+            if fresh:
+                reach, seen = [deque(maxlen=window_size) for _ in range(2)], [False, False]
+            n, calls = batch.num_rows, batch.column("gt")
+            g = np.array(_even(_even(calls), 2).to_numpy(zero_copy_only=False), np.int8).reshape(n, -1, 2)
+            phased = np.array(_even(batch.column("is_phased")).to_numpy(zero_copy_only=False), bool).reshape(n, -1)
+            told = phased[:, 2:].any(1)
+            for parent in range(2):
+                first, second = g[:, parent, 0].copy(), g[:, parent, 1].copy()
+                het = told & (first != second)
+                known = told & ~phased[:, parent] & (first >= 0) & (second >= 0)
+                given = het & phased[:, parent]
+                phased[known & ~het, parent] = True
+                rows = np.flatnonzero(given | (known & het))
+                got = g[rows, 2:, parent]
+                one, two = (sets(phased[rows, 2:] & (got == a[rows, None])) for a in (first, second))
+                before = reach[parent]
+                for i, a, b in zip(rows.tolist(), one, two, strict=True):
+                    if not given[i]:
                         votes = 0
-                        for k in informative[: -window_size - 1 : -1]:
-                            c, d = g[k, parent]
-                            on = phased[i, 2:] & phased[k, 2:]
-                            x, y = g[k, 2:, parent][on], g[i, 2:, parent][on]
-                            same = ((x == c) & (y == a)).sum() + ((x == d) & (y == b)).sum()
-                            cross = ((x == c) & (y == b)).sum() + ((x == d) & (y == a)).sum()
-                            votes += int(same > cross) - int(cross > same)
-                        if votes or not informative:
-                            if votes < 0:
-                                g[i, parent] = b, a
-                            phased[i, parent] = True
-                if phased[i, parent] and g[i, parent, 0] != g[i, parent, 1] and n_phased[i]:
-                    informative.append(i)
-        return pd.DataFrame({"vidx": pdf["vidx"], "gt": g.tolist(), "is_phased": phased.tolist()})
-
-    key = F.lit(0) if by is None else F.col(by)
-    schema = "vidx bigint, gt array<array<tinyint>>, is_phased array<boolean>"
-    return df.select(key.alias("_g"), "vidx", F.col(gt).alias("gt"), "is_phased").groupBy("_g").applyInPandas(run, schema)
+                        for c, d in before:
+                            more = (a & c).bit_count() + (b & d).bit_count() - (b & c).bit_count() - (a & d).bit_count()
+                            votes += (more > 0) - (more < 0)
+                        if not votes and seen[parent]:
+                            continue
+                        if votes < 0:
+                            g[i, parent] = second[i], first[i]
+                            a, b = b, a
+                        phased[i, parent] = True
+                    before.append((a, b))
+                    seen[parent] = True
+            samples = g.shape[1]
+            pairs = pa.ListArray.from_arrays(np.arange(0, 2 * n * samples + 1, 2, dtype=np.int32), pa.array(g.ravel()))
+            ends = pa.array(np.arange(0, n * samples + 1, samples, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("vidx"), pa.ListArray.from_arrays(ends, pairs), pa.ListArray.from_arrays(ends, pa.array(phased.ravel()))], ["vidx", "gt", "is_phased"])
+
+    columns = F.col(gt).cast("array<array<tinyint>>").alias("gt"), F.col("is_phased").alias("is_phased")
+    return ordered(df, by, *columns).mapInArrow(run, "vidx bigint, gt array<array<tinyint>>, is_phased array<boolean>")
+
+
+def _even(column: pa.Array, length: int | None = None) -> pa.Array:
+    """Elements of lists of one length."""
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    if column.null_count or (len(size) and (size != (length or size[0])).any()):
+        raise ValueError("rows with calls of unequal number")
+    return column.flatten()
 
 
 def phase_by_transmission(df: DataFrame, window_size: int, gt: str = "gt", by: str | None = None) -> DataFrame:
-    return phase_parents_by_transmission(phase_progeny_by_transmission(df, gt), window_size, gt, by)
+    # progeny are phased row by row, in as many tasks as there is room for, however few files were read
+    spread = df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4, "vidx")
+    return phase_parents_by_transmission(phase_progeny_by_transmission(spread, gt), window_size, gt, by)
